@@ -7,13 +7,24 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, lines, mixing, secrets
+from . import langid, lines, mixing, probminhash, repetition, secrets, tiling
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, class_id (the smallest doc_id of its near-duplicates and copies) of every document."""
+    return probminhash.duplicates(_table(spark, sf_dir, "documents"))
+
+
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, item_id, item_words, covered_words, coverage, n_tiles, longest_tile of each leak of a benchmark item."""
+    found = tiling.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "item_words", "covered_words", "coverage", F.size("tiles").cast("long").alias("n_tiles"), "longest_tile")
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, text, n_lines, n_removed of every document."""
     return lines.dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -38,6 +49,11 @@ FROM cut c LEFT JOIN kept k USING (doc_id)
 """
 
 
+def op6_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base columns, covered_words, longest_repeat and kept of every document."""
+    return repetition.judge(_table(spark, sf_dir, "documents"))
+
+
 def op8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, size, source_size, target, taken of every document."""
     weights = mixing.quality(_table(spark, sf_dir, "labels"))
@@ -86,6 +102,9 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_minhash_near_dedup": op1_minhash_near_dedup,
+    "op3_decontamination": op3_decontamination,
+    "op6_repetition": op6_repetition,
     "op5_line_dedup": op5_line_dedup,
     "op8_mix": op8_mix,
     "op9_secret_scan": op9_secret_scan,
