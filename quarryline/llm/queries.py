@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, lines, mixing, probminhash, repetition, secrets, tiling
+from . import langid, lines, mixing, probminhash, repetition, secrets, shards, tiling, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,11 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "item_id", "item_words", "covered_words", "coverage", F.size("tiles").cast("long").alias("n_tiles"), "longest_tile")
 
 
+def op4_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """slot, sequence, shard, byte_offset, n_tokens, doc_ids, sha256 of each sequence written."""
+    return shards.materialise(_table(spark, sf_dir, "documents"))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, text, n_lines, n_removed of every document."""
     return lines.dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -54,6 +59,23 @@ def op6_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.judge(_table(spark, sf_dir, "documents"))
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, payload_bytes, payload_digest, record_type, refers_to of every page, from the archives."""
+    rows = warc.captures(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return rows.select("page_id", "payload_bytes", F.col("digest").alias("payload_digest"), F.col("type").alias("record_type"), F.when(F.col("type") == "revisit", F.col("refers_to_page")).alias("refers_to"))
+
+
+OP7_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+d AS (SELECT page_id, octet_length(encode(h))::BIGINT AS payload_bytes, sha256(h) AS payload_digest FROM p),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_page FROM d)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN payload_bytes < 100 OR page_id = first_page THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN payload_bytes < 100 OR page_id = first_page THEN NULL ELSE first_page END AS refers_to
+FROM f
+"""
+
+
 def op8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, size, source_size, target, taken of every document."""
     weights = mixing.quality(_table(spark, sf_dir, "labels"))
@@ -104,10 +126,12 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op3_decontamination": op3_decontamination,
+    "op4_token_shards": op4_token_shards,
+    "op7_warc": op7_warc,
     "op6_repetition": op6_repetition,
     "op5_line_dedup": op5_line_dedup,
     "op8_mix": op8_mix,
     "op9_secret_scan": op9_secret_scan,
     "op10_language_id": op10_language_id,
 }
-ORACLE_SQL: dict[str, str] = {"op5_line_dedup": OP5_SQL, "op8_mix": OP8_SQL}
+ORACLE_SQL: dict[str, str] = {"op5_line_dedup": OP5_SQL, "op7_warc": OP7_SQL, "op8_mix": OP8_SQL}
