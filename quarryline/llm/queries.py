@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, lines, mixing, probminhash, repetition, secrets, shards, tiling, warc
+from . import langid, lines, mixing, ngram, probminhash, repetition, secrets, shards, tiling, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,11 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return probminhash.duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op2_ngram_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document."""
+    return ngram.score_documents(_table(spark, sf_dir, "documents"))
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, item_id, item_words, covered_words, coverage, n_tiles, longest_tile of each leak of a benchmark item."""
     found = tiling.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
@@ -125,6 +130,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
+    "op2_ngram_score": op2_ngram_score,
     "op3_decontamination": op3_decontamination,
     "op4_token_shards": op4_token_shards,
     "op7_warc": op7_warc,
