@@ -42,7 +42,7 @@ def decode(kind: str, value: str) -> dict:
 def content_ref(vault: str, scope: Column, kind: Column, identity: Column) -> Column:
     """Content references as a Column; the same strings as encode()."""
     payload = F.to_json(F.struct(identity.alias("identity"), kind.alias("kind"), scope.alias("scope"), F.lit(vault).alias("vault")))
-    return F.concat(F.lit(PREFIXES["content"]), F.rtrim(F.translate(F.base64(F.encode(payload, "utf-8")), "+/=", "-_ ")))
+    return F.concat(F.lit(PREFIXES["content"]), F.rtrim(F.translate(F.regexp_replace(F.base64(F.encode(payload, "utf-8")), "[\r\n]", ""), "+/=", "-_ ")))
 
 
 def field_class(name: str) -> str:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .cut import cut
 
 # Weights of the judge and bounds of the hops.
 PHRASE, CONTEXT, TITLE, CJK_EACH, CJK_MOST, IDENTIFIER = 0.15, 0.1, 0.25, 0.1, 0.2, 0.15
@@ -87,9 +88,6 @@ def hop(questions: DataFrame, initial: DataFrame, passages: DataFrame, find: Cal
         full = found.join(body, "passage_id").join(asked, "query_id")
         return full.withColumn("evidence", judge("question", "text", "title", "path"))
 
-    def cut(df: DataFrame) -> DataFrame:
-        return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist()
-
     first = initial.withColumn("order", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "passage_id"))).where(F.col("order") <= POOL)
     pool = cut(judged(first.select("query_id", "passage_id", "score", F.col("order").cast("long").alias("order"), F.lit(0).alias("hop"))))
     used, spent, stops = None, None, None

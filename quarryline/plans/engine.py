@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.codecs import read_batch_token
 from ..operators import catalog, context, evaluation, evidence, filters, fusion, graph, lexical, quality, recovery
+from ..operators.cut import cut
 from ..sources import pages as source_pages
 
 #: What ask() accepts besides questions.
@@ -48,12 +49,13 @@ class Engine:
         if not 1 <= k <= MAX_K or scope not in filters.SCOPES:
             raise ValueError("invalid_top_k" if scope in filters.SCOPES else "invalid_scope")
         corpus = self.corpus()
+        corpus = lexical.Corpus(cut(corpus.passages), corpus.weights)
         asked = questions.withColumn("intent", T.intent("question"))
         effective = "knowledge" if scope == "auto" else scope
         where = filters.eligible(effective) & filters.matches(filters.normalise_filters(filter_map))
         corpus_hits = lexical.ladder([lexical.search(asked, corpus, mode, where=where) for mode in ("strict", "phrase")])
         relaxed = lexical.search(asked, corpus, "relaxed", recovery.RELAXED_LIMIT, where, "terms" if "terms" in questions.columns else None)
-        first = lexical.ladder([corpus_hits, relaxed], "descend_if_empty")
+        first = cut(lexical.ladder([corpus_hits, relaxed], "descend_if_empty"))
         find = lambda q: lexical.search(q, corpus, "strict", evidence.PER_TERM, where)
         pool, stops = evidence.hop(asked, first, corpus.passages.withColumn("text", F.col("body")), find, hops)
         ranked = lexical.top(pool.select("query_id", "passage_id", "path", "evidence"), 100, [F.col("evidence").desc(), F.col("path"), F.col("passage_id")])
@@ -63,8 +65,9 @@ class Engine:
             vector = fusion.vector_hits(questions, self.vectors)
         found = fusion.candidates(ranked, title, vector).join(corpus.passages.where(where), "passage_id").join(asked, "query_id").join(pool.select("query_id", "passage_id", "evidence"), ["query_id", "passage_id"], "left")
         scored = fusion.best_per_page(fusion.fuse(found, weights=self.weights, scope=effective)).select("query_id", "path", "passage_id", "score", "evidence", "rrf", "exact", "fts_rank", "vector_rank", "source_kind", "question")
+        scored = cut(scored)
         if expand_graph:
-            scored = self._expand(scored, where, k)
+            scored = cut(self._expand(scored, where, k))
         ranked = fusion.adaptive_expand(scored, k)
         results = fusion.split_results(ranked, k)
         kinds = recovery.pool_kind(asked, pool)
@@ -73,9 +76,9 @@ class Engine:
     def _expand(self, scored: DataFrame, where, k: int) -> DataFrame:
         pages = self.tables["pages"]
         edges = graph.resolve(graph.stored_edges(self.tables["links"], pages).where("kind = 'wikilink'"), pages).where("target is not null").select("src", F.col("target").alias("dst"))
-        adjacent = graph.neighbours(edges)
+        adjacent = cut(graph.neighbours(edges))
         seeds = lexical.top(scored, max(k, 10), [F.coalesce("evidence", F.lit(0.0)).desc(), F.col("score").desc(), F.col("path")], rank="seed").select("query_id", "path", "score")
-        reached = graph.two_hops(seeds, adjacent, pages.where(where).select("path"))
+        reached = cut(graph.two_hops(seeds, adjacent, pages.where(where).select("path")))
         sources = pages.select("path", F.explode("sources").alias("source"))
         weighed = graph.evidence(reached.select("seed", "target"), adjacent, None, sources, pages.select("path", "page_type"))
         gained = graph.expand(seeds, reached, weighed, scored.select("query_id", "path", "score"))

@@ -9,6 +9,7 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
+    "spark.sql.maxPlanStringLength": "100k",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 

@@ -23,7 +23,7 @@ def cases(spark: SparkSession, path: str) -> DataFrame:
         | F.exists(relevant, lambda r: ~F.coalesce(r["grade"].between(1, 3), F.lit(False)))
         | (F.size(F.array_distinct(F.transform(relevant, lambda r: r["path"]))) < F.size(relevant)) | ((F.size(relevant) == 0) == F.col("answerable"))
     )
-    rows = rows.withColumn("relevant", relevant).withColumn("__bad", F.coalesce(bad, F.lit(True))).persist()
+    rows = rows.withColumn("relevant", relevant).withColumn("__bad", F.coalesce(bad, F.lit(True)))
     wrong = rows.where("__bad").count()
     twice = rows.groupBy("id").count().where("count > 1").limit(1).count()
     if wrong or twice:
@@ -37,7 +37,7 @@ def gold(case_rows: DataFrame) -> DataFrame:
 
 def observations(spark: SparkSession, path: str) -> DataFrame:
     """Calibration observations; broken lines are left out, accepted and query_id may have any of their names."""
-    rows = spark.read.schema(OBSERVATION + ", _corrupt_record string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").json(path).cache()
+    rows = spark.read.schema(OBSERVATION + ", _corrupt_record string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").json(path)
     rows = rows.where("_corrupt_record is null")
     return rows.select(F.coalesce("query_id", "case_id", "id").alias("query_id"), F.coalesce("accepted", "relevant", "label", F.lit(False)).alias("accepted"), "score", "margin", "coverage", "family", "scope", "language", "answerable")
 
