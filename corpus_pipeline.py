@@ -16,7 +16,7 @@ from quarryline.llm.shared import Workspace, drop_ids
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a language (no letters), or so far from every profile that hardly an n-gram is known, go."""
-    found = langid.predict(docs.withColumn("__whole", F.col("text")), langid.learn(docs.where(langid.fold() != 0)), text="__whole")
+    found = langid.predict(docs, langid.learn(docs.where(langid.fold() != 0)), keep_text=True)
     return found.where((F.col("lang_pred") != "und") & (F.col("score") >= langid.MIN_SCORE)).select(docs.columns)
 
 

@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .shared import short_batches
 from .text import U, blocks, mix, strings
 
 PROFILE = 400
@@ -93,6 +94,7 @@ def learn(rows: DataFrame, text: Column | str = "text", lang: Column | str = "la
     Counts are added up in the tasks before they are shuffled. Only size rows a language come to the driver.
     """
     text, lang = (F.col(x) if isinstance(x, str) else x for x in (text, lang))
+    short_batches(rows.sparkSession)
     counts = rows.select(text.alias("text"), lang.alias("lang")).where("lang is not null").mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     # the most frequent of a hash class first, so that no language's n-grams meet in one task
     parts = counts.groupBy("lang", F.pmod("gram", F.lit(64)).alias("part")).agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("n"), "gram"))), 1, size).alias("top"))
@@ -127,21 +129,23 @@ def _predict(profiles: dict[str, np.ndarray], size: int, block: pa.Array) -> tup
     return best, np.clip(score, 0, 1)
 
 
-def predict(docs: DataFrame, profiles: dict[str, np.ndarray], text: str = "text", size: int = PROFILE) -> DataFrame:
-    """docs without the text, with lang_pred and score (1: every n-gram in its place; 0: none known)."""
+def predict(docs: DataFrame, profiles: dict[str, np.ndarray], text: str = "text", size: int = PROFILE, keep_text: bool = False) -> DataFrame:
+    """docs (without the text, unless it is kept) with lang_pred and score (1: every n-gram in its place; 0: none known)."""
+    short_batches(docs.sparkSession)
     rest = [c for c in docs.columns if c not in (text, "lang_pred", "score")]
-    schema = T.StructType([docs.schema[c] for c in rest] + [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    kept = [*rest, text] if keep_text else rest
+    schema = T.StructType([docs.schema[c] for c in kept] + [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     names = np.array([*profiles, "und"], object)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            whole = strings(batch.column("__text"))
+            whole = strings(batch.column(len(rest)))
             found = [_predict(profiles, size, block) for _, block in blocks(whole)] or [(np.zeros(0, int), np.zeros(0))]
             lang = names[np.concatenate([f[0] for f in found])]
-            columns = [batch.column(c) for c in rest] + [pa.array(lang, pa.string()), pa.array(np.concatenate([f[1] for f in found]))]
-            yield pa.RecordBatch.from_arrays(columns, [*rest, "lang_pred", "score"])
+            columns = [batch.column(k) for k in range(len(kept))] + [pa.array(lang, pa.string()), pa.array(np.concatenate([f[1] for f in found]))]
+            yield pa.RecordBatch.from_arrays(columns, [*kept, "lang_pred", "score"])
 
-    return docs.select(*rest, F.col(text).alias("__text")).mapInArrow(run, schema)
+    return docs.select(*rest, text).mapInArrow(run, schema)
 
 
 def fold(id_column: str = "doc_id") -> Column:

@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .shared import short_batches
 from .text import SPACES, U, Words, blocks, mix, prefix_hashes, span_hash, strings, words
 
 MIN_WORDS = 5
@@ -161,6 +162,7 @@ def _block(column: pa.Array) -> dict[str, np.ndarray]:
 
 def judge(docs: DataFrame) -> DataFrame:
     """The columns of SCHEMA for each document."""
+    short_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

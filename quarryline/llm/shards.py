@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import Workspace
-from .text import U, mix, strings
+from .text import U, filled, mix
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 #: Split pattern of the vocabulary. Fixed value.
@@ -114,7 +114,7 @@ def tokenise(docs: DataFrame, work: Workspace, vocabulary: str = VOCABULARY) ->
 
         def tokens() -> Iterator[tuple[int | None, np.ndarray]]:
             for batch in batches:
-                for doc, text in zip(batch.column(0).to_pylist(), strings(batch.column(1)).to_pylist(), strict=True):
+                for doc, text in zip(batch.column(0).to_pylist(), filled(batch.column(1)).to_pylist(), strict=True):
                     yield doc, np.array([*encode(text), end], kind)
 
         for block, ids, starts in _blocks(tokens()):

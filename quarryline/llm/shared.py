@@ -23,11 +23,23 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+#: Rows of a batch handed to Python. Whole texts are long, so batches are short: 1,000 texts of 100 KB are 100 MB.
+BATCH_ROWS = 1000
+
+
+def short_batches(spark: SparkSession) -> None:
+    """Bounds the session's Arrow batches for operators over whole texts."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key, "10000")) > BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 class Workspace:
     """Tables of one run of an operator, as Parquet in the shared folder. A lost executor costs a reread, not a recomputation."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
+        short_batches(spark)
         self.root = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
     def path(self, name: str) -> str:

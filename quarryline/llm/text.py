@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-BLOCK_BYTES = 1 << 21
+BLOCK_BYTES = 1 << 20
 U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -101,8 +101,14 @@ class Words:
 
 
 def strings(column: pa.Array | pa.ChunkedArray) -> pa.Array:
+    """One array of a column, not copied."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks() if column.num_chunks != 1 else column.chunk(0)
+    return column
+
+
+def filled(column: pa.Array) -> pa.Array:
+    """As large_string without nulls."""
     return pc.fill_null(column.cast(pa.large_string()), "")
 
 
@@ -116,13 +122,14 @@ def raw_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, offsets - offsets[0]
 
 
-def blocks(column: pa.Array) -> Iterator[tuple[int, pa.Array]]:
-    """Slices of about BLOCK_BYTES, with the number of the first row of each."""
-    _, offsets = raw_bytes(column)
+def blocks(column: pa.Array, size: int = BLOCK_BYTES) -> Iterator[tuple[int, pa.Array]]:
+    """Filled slices of about size bytes, with the number of the first row of each. Only a slice is copied at a time."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     at = 0
     while at < len(column):
-        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + BLOCK_BYTES, "right")) - 1)
-        yield at, column.slice(at, to - at)
+        before = sizes[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(sizes, before + size, "right")))
+        yield at, filled(column.slice(at, to - at))
         at = to
 
 

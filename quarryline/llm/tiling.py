@@ -22,7 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import MARKS, U, Words, blocks, mix, strings, words
+from .shared import short_batches
+from .text import MARKS, U, Words, blocks, filled, mix, strings, words
 
 LEAST, COVERAGE = 5, 0.5
 FIRST_RUN = 20
@@ -88,7 +89,7 @@ class Items:
     """Words and seeds of a block of the benchmark."""
 
     def __init__(self, ids: list, texts: list[str | None], least: int, coverage: float):
-        w = words(strings(pa.array(texts, pa.string())), MARKS, "full")
+        w = words(filled(pa.array(texts, pa.string())), MARKS, "full")
         self.ids, self.least, self.coverage = ids, least, coverage
         self.hashes = [w.hashes[a:b] for a, b in zip(w.first[:-1], w.first[1:], strict=True)]
         seed, self.item, self.place = _seeds(w, least)
@@ -158,6 +159,7 @@ def _seeds(w: Words, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def leaks(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, coverage: float = COVERAGE) -> DataFrame:
     """SCHEMA: a row for each document and each item that leaks into it."""
     spark = docs.sparkSession
+    short_batches(spark)
     chars = benchmark.agg(F.sum(F.length("text"))).first()[0] or 0
     parts = -(-chars // BLOCK_CHARS) or 1
     out = None
