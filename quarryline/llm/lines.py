@@ -46,11 +46,9 @@ def repeated_lines(docs: DataFrame, work: Workspace) -> DataFrame:
 def dedup_lines(docs: DataFrame, work: Workspace | None = None) -> DataFrame:
     """docs with text after removal, n_lines and n_removed."""
     work = work or Workspace(docs.sparkSession, "lines")
-    covered = repeated_lines(docs, work)
-    rows = covered.count()
-    covered = covered.withColumnsRenamed({"doc_id": "__id", "text_hash": "__hash"})
+    covered = repeated_lines(docs, work).withColumnsRenamed({"doc_id": "__id", "text_hash": "__hash"})
     rest = [c for c in docs.columns if c not in ("text", "n_lines", "n_removed", "covered")]
-    joined = docs.select(*rest, "text").join(small(covered, rows) if rows <= 20_000 else covered, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__hash")), "left")
+    joined = docs.select(*rest, "text").join(covered.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__hash")), "left")
     gone = F.array_distinct(F.flatten(F.transform("covered", lambda w: F.sequence(w, w + (WINDOW - 1)))))
     numbered = F.transform(_lines(), lambda line, at: F.struct(line.alias("line"), at.alias("at")))
     # a mark for each line, so that long texts are not searched once a line
