@@ -17,18 +17,12 @@ def _select(words: np.ndarray, before: np.ndarray, k: np.ndarray, ones: bool) ->
     """Place of the k-th (from 0) bit that is set (or unset); before: how many such bits come before each word."""
     word = np.searchsorted(before, k, "right") - 1
     left = k - before[word]
-    value = words[word] if ones else ~words[word]
-    place = word.astype(np.int64) * 64
-    open_ = np.ones(len(k), bool)
-    out = np.zeros(len(k), np.int64)
-    for byte in range(8):
-        b = (value >> U(8 * byte)).astype(np.uint8)
-        n = _ONES[b]
-        here = open_ & (left < n)
-        out[here] = place[here] + 8 * byte + _PLACE[b[here], left[here]]
-        open_ &= ~here
-        left = np.where(open_, left - n, left)
-    return out
+    bytes_ = (words[word] if ones else ~words[word]).view(np.uint8).reshape(-1, 8)
+    upto = np.cumsum(_ONES[bytes_], axis=1, dtype=np.uint8)
+    byte = (upto <= left[:, None]).sum(1)
+    row = np.arange(len(k))
+    inside = left - np.where(byte > 0, upto[row, byte - 1], 0)
+    return word.astype(np.int64) * 64 + 8 * byte + _PLACE[bytes_[row, byte], inside]
 
 
 class EliasFano:

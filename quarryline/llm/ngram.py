@@ -38,6 +38,8 @@ from .shared import Workspace
 from .text import U, Words, blocks, mix, strings, words
 
 DISCOUNT, LEAST_COUNT = 0.75, 2
+#: A block of texts looks into every shard, so it is larger than elsewhere.
+SCORE_BYTES = 4 << 20
 RANGE_WORDS, SHARD_TOKENS, HELD = 500_000, 3_000_000, 2_000_000
 END = np.uint64(1)
 SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -389,7 +391,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, block in blocks(strings(batch.column(2))):
+            for at, block in blocks(strings(batch.column(2)), SCORE_BYTES):
                 n, known, base, best = _score(model, block)
                 columns = [batch.column(0).slice(at, len(block)), batch.column(1).slice(at, len(block)), pa.array(n), pa.array(known), pa.array([model.tokens] * len(block), pa.int64()), pa.array(base), pa.array(best)]
                 yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in SCHEMA.split(", ")])
