@@ -6,10 +6,10 @@ than every register. Two registers hold the same shingle with the texts' probabi
 
 1. Equal word sequences are one node. Registers make BANDS bands of ROWS; nodes that agree on a band meet in its bucket.
 2. Each bucket's most central member (most meetings over all bands) is compared with the others; confirmed pairs are links.
-3. What is left: pairs of a bucket that are in different components of these links. They are compared block by
-   block, so a bucket of any size is worked off by many tasks, and no pair that shares a bucket goes untested unless its
+3. What is left: pairs of a bucket that are in different components of these links. They are compared, in the first bucket
+   that they share, block by block, so a bucket of any size is worked off by many tasks, and no pair that shares a bucket goes untested unless its
    nodes are in one class already.
-4. A pair is tested on all registers first (one byte each), and dropped if the estimate is under CUT, five standard errors below the
+4. A pair is tested on all registers first (one byte each), and dropped if the estimate is under CUT, 4.5 standard errors below the
    threshold; then on the whole shingle sets: plain Jaccard or exact probability Jaccard must reach SIMILARITY.
 
 Words are runs of ASCII letters, digits and non-ASCII characters in small letters. Defined results: a text of 1 to 4
@@ -33,8 +33,9 @@ from .text import MARKS, U, Words, blocks, mix, prefix_hashes, span_hash, string
 SHINGLE, SIMILARITY = 5, 0.8
 ROWS, BANDS = 7, 40
 REGISTERS = ROWS * BANDS
-CUT = SIMILARITY - 5 * (SIMILARITY * (1 - SIMILARITY) / REGISTERS) ** 0.5
-BUCKET_BLOCK = 1024
+CUT = SIMILARITY - 4.5 * (SIMILARITY * (1 - SIMILARITY) / REGISTERS) ** 0.5
+BUCKET_BLOCK = 256
+PAIRS_AT_ONCE = 500
 
 
 def weighted(w: Words, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -118,38 +119,63 @@ def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).filter(pa.array(keep))
 
 
+def _sets(texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+    out = []
+    for _, block in blocks(texts):
+        of, shingle, weight = weighted(words(block, MARKS, "full"))
+        bounds = np.searchsorted(of, np.arange(len(block) + 1))
+        out += [(shingle[i:j], weight[i:j]) for i, j in zip(bounds[:-1], bounds[1:], strict=True)]
+    return out
+
+
 def _within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Likely pairs of different components of each cell of a bucket."""
+    """Links between different components among the members of each cell of a bucket.
+
+    A pair that shares several buckets is tested in the first of them; a pair that links found in this cell have joined is not tested.
+    """
     for batch in batches:
-        for members in batch.column("members"):
-            rows = members.as_py()
-            node, root = (np.array([r[c] for r in rows], np.int64) for c in ("node", "root"))
-            side = np.array([r["side"] for r in rows])
-            sketch = np.frombuffer(b"".join(r["sketch"] for r in rows), np.uint8).reshape(len(rows), REGISTERS)
-            found: tuple[list, list] = ([], [])
+        for key, members in zip(batch.column("key").to_pylist(), batch.column("members"), strict=True):
+            rows = members.values
+            node, root, side = (rows.field(c).to_numpy(zero_copy_only=False) for c in ("node", "root", "side"))
+            sketch = _sketches(rows.field("sketch"))
+            bands = rows.field("bands").flatten().to_numpy(zero_copy_only=False).reshape(len(rows), BANDS)
+            here = (bands == key).argmax(1)
+            sets, joined = None, {int(r): int(r) for r in root}
+
+            def find(r: int, joined: dict[int, int] = joined) -> int:
+                while joined[r] != r:
+                    joined[r] = r = joined[joined[r]]
+                return r
+
+            found: list[tuple[int, int, float]] = []
             for i in range(len(rows)):
-                other = np.flatnonzero((root > root[i]) if side[i] == 2 else (root != root[i]) & (side == 1)) if side[i] != 1 else []
-                if len(other):
-                    for j in other[_estimate(sketch[other], sketch[i]) >= CUT]:
-                        found[0].append(min(node[i], node[j]))
-                        found[1].append(max(node[i], node[j]))
-            yield pa.RecordBatch.from_arrays([pa.array(found[0], pa.int64()), pa.array(found[1], pa.int64())], ["a", "b"])
+                if side[i] == 1:
+                    continue
+                other = np.flatnonzero((root > root[i]) if side[i] == 2 else (root != root[i]) & (side == 1))
+                other = other[_estimate(sketch[other], sketch[i]) >= CUT]
+                other = other[(bands[other] == bands[i]).argmax(1) == here[i]]
+                for j in other.tolist():
+                    if find(int(root[i])) == find(int(root[j])):
+                        continue
+                    sets = sets or _sets(rows.field("text"))
+                    score = max(similarity(*sets[i], *sets[j]))
+                    if score >= SIMILARITY - 1e-12:
+                        joined[find(int(root[i]))] = find(int(root[j]))
+                        found.append((*sorted((int(node[i]), int(node[j]))), score))
+            columns = list(zip(*found, strict=True)) or [(), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.float64())], ["a", "b", "similarity"])
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts, sets = {}, []
-        for side in ("ta", "tb"):
-            for text in batch.column(side).to_pylist():
-                texts.setdefault(text, len(texts))
-        for _, block in blocks(strings(pa.array(list(texts), pa.large_string()))):
-            of, shingle, weight = weighted(words(block, MARKS, "full"))
-            bounds = np.searchsorted(of, np.arange(len(block) + 1))
-            sets += [(shingle[i:j], weight[i:j]) for i, j in zip(bounds[:-1], bounds[1:], strict=True)]
-        pairs = zip(batch.column("ta").to_pylist(), batch.column("tb").to_pylist(), strict=True)
-        score = np.array([max(similarity(*sets[texts[x]], *sets[texts[y]])) for x, y in pairs])
-        keep = score >= SIMILARITY - 1e-12
-        yield batch.select(["a", "b"]).append_column("similarity", pa.array(score, pa.float64())).filter(pa.array(keep, pa.bool_()))
+    for whole in batches:
+        for start in range(0, whole.num_rows, PAIRS_AT_ONCE):
+            batch = whole.slice(start, PAIRS_AT_ONCE)
+            both = pa.chunked_array([batch.column("ta"), batch.column("tb")]).combine_chunks().dictionary_encode()
+            sets = _sets(both.dictionary)
+            place, n = both.indices.to_numpy(), batch.num_rows
+            score = np.array([max(similarity(*sets[x], *sets[y])) for x, y in zip(place[:n], place[n:], strict=True)])
+            keep = score >= SIMILARITY - 1e-12
+            yield batch.select(["a", "b"]).append_column("similarity", pa.array(score, pa.float64())).filter(pa.array(keep, pa.bool_()))
 
 
 class NearDuplicates:
@@ -176,14 +202,13 @@ class NearDuplicates:
         heads = work.table(ranked.groupBy("key").agg(F.max(F.struct("meetings", "node"))["node"].alias("head")), "heads")
         pairs = members.join(small(heads, heads.count()), "key").where("node <> head").select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b")).distinct()
         # whole texts only of nodes that met another, one row of each
-        wanted = central.select("node").join(nodes, "node").select("row", "node", "sketch")
+        wanted = central.select("node").join(nodes, "node").select("row", "node", "sketch", "bands")
         wanted = work.table(wanted, "wanted")
         texts = self.docs.select("row", "text").join(small(wanted.select("row", "node"), known), "row").select("node", "text").dropDuplicates(["node"])
         self._texts, self._wanted = work.table(texts, "texts"), wanted
         links = self._confirmed(self._likely_pairs(pairs), "first")
         roots = work.table(components(links, work, "near"), "roots-1")
-        left = self._across(members, roots)
-        more = self._confirmed(left, "second")
+        more = self._across(members, roots)
         self._links = links.unionByName(more)
         if more.isEmpty():
             final = roots
@@ -207,19 +232,18 @@ class NearDuplicates:
         return self.work.table(tested, f"links-{name}")
 
     def _across(self, members: DataFrame, roots: DataFrame) -> DataFrame:
-        """Likely pairs that share a bucket and not a component."""
+        """Links between members of a bucket that are not in one component."""
         n = roots.count()
         placed = members.select("key", "node").join(small(roots, n), "node", "left").withColumn("root", F.coalesce("root", "node"))
         mixed = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).where("low < high").select("key", F.ceil(F.col("n") / BUCKET_BLOCK).cast("int").alias("parts"))
         mixed = self.work.table(mixed, "mixed")
-        open_ = placed.join(small(mixed, mixed.count()), "key").join(self._wanted.select("node", "sketch"), "node")
+        open_ = placed.join(small(mixed, mixed.count()), "key").join(self._wanted.select("node", "sketch", "bands"), "node").join(self._texts, "node")
         part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
         cells = open_.withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         # in the cell of two parts, side 0 is the smaller part and 1 the other; 2: a part with itself
         side = F.when(F.col("part") == F.col("other"), 2).when(F.col("part") < F.col("other"), 0).otherwise(1)
-        cells = cells.groupBy("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j")).agg(F.collect_list(F.struct("node", "root", "sketch", side.alias("side"))).alias("members"))
-        found = cells.select("members").mapInArrow(_within, "a long, b long").distinct()
-        return self.work.table(found, "across")
+        cells = cells.groupBy("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j")).agg(F.collect_list(F.struct("node", "root", "sketch", "bands", "text", side.alias("side"))).alias("members"))
+        return self.work.table(cells.select("key", "members").mapInArrow(_within, "a long, b long, similarity double"), "links-second")
 
     def _named(self, roots: DataFrame) -> DataFrame:
         n = roots.count()
