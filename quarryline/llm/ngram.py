@@ -6,8 +6,8 @@ Tokens are words of a text with A-Z in small letters, and one end. The model int
     P2(w | v) = (c(v w) - D) / c(v) + g(v) P1(w)          g(v) = 1 - sum over kept w of (c(v w) - D) / c(v)
     P3(w | u v) = (c(u v w) - D) / c(u v) + g(u v) P2(w | v)
 
-n-grams seen once are not kept (their mass is in g), so every distribution sums to 1 before quantisation. A start mark is a
-context only.
+n-grams seen less than `least` times are not kept (their mass is in g), so every distribution sums to 1 before quantisation; with
+least = 1, as in the registered query, all are kept. A start mark is a context only.
 
 Files in the shared folder: the vocabulary in ranges of word hashes (a word's id is its rank), and the trie in shards of
 (first word, second word) hashes, so that no frequent context is one shard's alone. In a shard the levels hold first words, second words under
@@ -159,7 +159,7 @@ class Shard:
         return p2, g, p3
 
 
-def build_shard(u: np.ndarray, v: np.ndarray, w: np.ndarray, n: np.ndarray, size: int, context: np.ndarray, none: int) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
+def build_shard(u: np.ndarray, v: np.ndarray, w: np.ndarray, n: np.ndarray, size: int, context: np.ndarray, none: int, least: int = LEAST_COUNT) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
     """Arrays of a shard from distinct trigrams with counts, ordered; and the discounted sums of first words.
 
     context: c(u) of each trigram's first word. none: the third word that stands for the end of a text.
@@ -167,11 +167,11 @@ def build_shard(u: np.ndarray, v: np.ndarray, w: np.ndarray, n: np.ndarray, size
     pair = np.flatnonzero(np.concatenate([[True], (u[1:] != u[:-1]) | (v[1:] != v[:-1])])) if len(u) else np.zeros(0, np.int64)
     total = np.add.reduceat(n, pair) if len(pair) else n
     of = np.repeat(np.arange(len(pair)), np.diff(np.append(pair, len(u))))
-    kept = total >= LEAST_COUNT
+    kept = total >= least
     share2 = (total - DISCOUNT) / np.maximum(context[pair], 1)
     # all occurrences of a pair but those before the end of a text are followed by a word
     after = np.bincount(of, np.where(w == none, 0, n), len(pair))
-    third = (n >= LEAST_COUNT) & (w != none) & kept[of]
+    third = (n >= least) & (w != none) & kept[of]
     share3 = ((n - DISCOUNT) / np.maximum(after[of], 1))[third]
     g = np.maximum(1 - np.bincount(of[third], share3, len(pair)), 1e-9)[kept]
     new = np.cumsum(kept) - 1
@@ -214,8 +214,8 @@ def _sequences(w: Words, first: np.ndarray, ids: np.ndarray, start: int) -> tupl
     return out, at
 
 
-def train(docs: DataFrame, work: Workspace) -> Model:
-    """docs: the texts to learn from."""
+def train(docs: DataFrame, work: Workspace, least: int = LEAST_COUNT) -> Model:
+    """docs: the texts to learn from. least: occurrences of an n-gram that is kept."""
     counts = docs.select("text").mapInArrow(_count_words, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
     counts = work.table(counts, "counts")
     size, tokens, texts = counts.agg(F.count("*"), F.sum("n"), F.sum(F.when(F.col("word") == int(END), F.col("n")))).first()
@@ -299,7 +299,7 @@ def train(docs: DataFrame, work: Workspace) -> Model:
         for r in range(len(bases) - 1):
             mine = (u >= bases[r]) & (u < bases[r + 1])
             context[mine] = vocabulary.counts[r][u[mine] - bases[r]]
-        arrays, firsts, sums = build_shard(u, v, w, n, n_ids, context, none)
+        arrays, firsts, sums = build_shard(u, v, w, n, n_ids, context, none, least)
         save(f"{root}/shard-{shard:05d}", arrays, str(TaskContext.get().taskAttemptId()))
         yield pa.RecordBatch.from_arrays([pa.array(firsts), pa.array(sums)], ["u", "kept"])
 
@@ -399,8 +399,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select("doc_id", "held_out", "text").mapInArrow(run, SCHEMA)
 
 
-def score_documents(docs: DataFrame, work: Workspace | None = None) -> DataFrame:
+def score_documents(docs: DataFrame, work: Workspace | None = None, least: int = LEAST_COUNT) -> DataFrame:
     """SCHEMA for all documents, by a model of those whose fold is not 1."""
     work = work or Workspace(docs.sparkSession, "ngram")
-    model = train(docs.where(fold() != 1), work)
+    model = train(docs.where(fold() != 1), work, least)
     return score(docs.select("doc_id", (fold() == 1).alias("held_out"), "text"), model)

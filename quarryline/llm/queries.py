@@ -20,8 +20,8 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_ngram_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document."""
-    return ngram.score_documents(_table(spark, sf_dir, "documents"))
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document, by a model of all n-grams."""
+    return ngram.score_documents(_table(spark, sf_dir, "documents"), least=1)
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
