@@ -2,15 +2,17 @@
 
 A text is its set of five-word shingles, weighted 1 + ln(occurrences). Each shingle sends a Poisson process of arrivals
 at a rate that is its weight; an arrival takes a register if it is the earliest there, and a shingle stops once it is later
-than every register. Two registers hold the same shingle with the texts' probability Jaccard similarity.
+than every register. Two registers hold the same shingle with the texts' probability Jaccard similarity. A second set of
+registers takes every weight as 1, and agrees with the texts' plain Jaccard similarity; it is kept only where a shingle
+occurs twice or more, as both sets are equal elsewhere.
 
-1. Equal word sequences are one node. Registers make BANDS bands of ROWS; nodes that agree on a band meet in its bucket.
+1. Equal word sequences are one node. Registers make BANDS bands of ROWS in each set; nodes that agree on a band meet in its bucket.
 2. Each bucket's most central member (most meetings over all bands) is compared with the others; confirmed pairs are links.
 3. What is left: pairs of a bucket that are in different components of these links. They are compared, in the first bucket
-   that they share, block by block, so a bucket of any size is worked off by many tasks, and no pair that shares a bucket goes untested unless its
-   nodes are in one class already.
-4. A pair is tested on all registers first (one byte each), and dropped if the estimate is under CUT, 4.5 standard errors below the
-   threshold; then on the whole shingle sets: plain Jaccard or exact probability Jaccard must reach SIMILARITY.
+   that they share, block by block, so a bucket of any size is worked off by many tasks, and no pair that agrees on a band of a set goes untested unless
+   its nodes are in one class already.
+4. A pair is tested on all registers first (one byte each), and dropped if the estimates of both sets are under CUT, 4.5 standard errors
+   below the threshold; then on the whole shingle sets: plain Jaccard or exact probability Jaccard must reach SIMILARITY.
 
 Words are runs of ASCII letters, digits and non-ASCII characters in small letters. Defined results: a text of 1 to 4
 words is one shingle; null texts and texts without words are in a class of their own each; repeated rows are in one
@@ -85,6 +87,16 @@ def similarity(a: np.ndarray, wa: np.ndarray, b: np.ndarray, wb: np.ndarray) ->
     return plain, float((1 / (above / x + below / y)).sum())
 
 
+def _keys(reg: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the bands of registers, and a byte of each register."""
+    key = np.zeros((len(reg), BANDS), U)
+    by = mix(reg).reshape(len(reg), BANDS, ROWS)
+    for j in range(ROWS):
+        key = key * U(0xFF51AFD7ED558CCD) + by[:, :, j]
+    key = mix(key + np.arange(1, BANDS + 1, dtype=U) * U(0xD1342543DE82EF95)).view(np.int64)
+    return key, (mix(reg + U(7)) >> U(56)).astype(np.uint8)
+
+
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["doc_id", "row", "node", "bands", "sketch"]
     for batch in batches:
@@ -93,24 +105,39 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sums = prefix_hashes(mix(w.hashes))
             node = mix(span_hash(sums, w.first[:-1], w.first[1:]) + U(0x51) * w.counts.astype(U)).view(np.int64)
             none = w.counts == 0
-            reg = registers(w.texts, *weighted(w))
-            key = np.zeros((w.texts, BANDS), U)
-            by = mix(reg).reshape(w.texts, BANDS, ROWS)
-            for j in range(ROWS):
-                key = key * U(0xFF51AFD7ED558CCD) + by[:, :, j]
-            key = mix(key + np.arange(1, BANDS + 1, dtype=U) * U(0xD1342543DE82EF95)).view(np.int64)
-            bytes_ = (mix(reg + U(7)) >> U(56)).astype(np.uint8)
-            bands = pa.ListArray.from_arrays(pa.array(np.arange(w.texts + 1, dtype=np.int32) * BANDS), pa.array(key.ravel()))
-            sketch = pa.array([x.tobytes() for x in bytes_], pa.binary())
+            text, shingle, weight = weighted(w)
+            key, bytes_ = _keys(registers(w.texts, text, shingle, weight))
+            # the same with equal weights, of texts with a shingle that occurs again
+            again = np.bincount(text, weight > 1, w.texts) > 0
+            mine, new = again[text], np.cumsum(again) - 1
+            plain_key, plain_bytes = _keys(registers(int(again.sum()), new[text[mine]], shingle[mine], np.ones(int(mine.sum()))))
+            size = np.where(again, 2 * BANDS, BANDS)
+            first = np.concatenate([[0], np.cumsum(size)])
+            flat = np.zeros(first[-1], np.int64)
+            flat[(first[:-1, None] + np.arange(BANDS)).ravel()] = key.ravel()
+            flat[(first[:-1][again][:, None] + BANDS + np.arange(BANDS)).ravel()] = plain_key.ravel()
+            bands = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(flat))
+            sketch = pa.array([x.tobytes() + (plain_bytes[new[i]].tobytes() if again[i] else b"") for i, x in enumerate(bytes_)], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(block)), batch.column(1).slice(at, len(block)), pa.array(node, mask=none), bands, sketch], names)
 
 
 def _estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return ((a == b).mean(-1) - 1 / 256) / (1 - 1 / 256)
+    """The larger of the similarities by weighted and by plain registers."""
+    return ((a == b).mean(-1).max(-1) - 1 / 256) / (1 - 1 / 256)
 
 
 def _sketches(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), REGISTERS)
+    """Weighted and plain registers of each row, equal where only one set is kept."""
+    whole = b"".join(x if len(x) > REGISTERS else x + x for x in column.to_pylist())
+    return np.frombuffer(whole, np.uint8).reshape(len(column), 2, REGISTERS)
+
+
+def _bands(column: pa.ListArray) -> np.ndarray:
+    """Weighted and plain keys of each row, in one line."""
+    size = column.value_lengths().to_numpy(zero_copy_only=False)
+    first = np.cumsum(size) - size
+    at = first[:, None] + np.arange(2 * BANDS) % np.where(size > BANDS, 2 * BANDS, BANDS)[:, None]
+    return column.flatten().to_numpy(zero_copy_only=False)[at]
 
 
 def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,8 +165,7 @@ def _within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows = members.values
             node, root, side = (rows.field(c).to_numpy(zero_copy_only=False) for c in ("node", "root", "side"))
             sketch = _sketches(rows.field("sketch"))
-            bands = rows.field("bands").flatten().to_numpy(zero_copy_only=False).reshape(len(rows), BANDS)
-            here = (bands == key).argmax(1)
+            bands = _bands(rows.field("bands"))
             sets, joined = None, {int(r): int(r) for r in root}
 
             def find(r: int, joined: dict[int, int] = joined) -> int:
@@ -153,7 +179,7 @@ def _within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     continue
                 other = np.flatnonzero((root > root[i]) if side[i] == 2 else (root != root[i]) & (side == 1))
                 other = other[_estimate(sketch[other], sketch[i]) >= CUT]
-                other = other[(bands[other] == bands[i]).argmax(1) == here[i]]
+                other = other[bands[i][(bands[other] == bands[i]).argmax(1)] == key]
                 for j in other.tolist():
                     if find(int(root[i])) == find(int(root[j])):
                         continue
@@ -192,7 +218,7 @@ class NearDuplicates:
         work, signed = self.work, self.signed
         nodes = signed.where("node is not null").groupBy("node").agg(F.min("row").alias("row"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
         nodes = work.table(nodes, "nodes")
-        rows = nodes.select("node", F.explode("bands").alias("key"))
+        rows = nodes.select("node", F.explode(F.array_distinct("bands")).alias("key"))
         buckets = work.table(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
         members = work.table(rows.join(small(buckets, buckets.count()), "key"), "members")
         central = members.groupBy("node").agg(F.sum("n").alias("meetings"))
