@@ -7,7 +7,7 @@ is covered if it lies in an occurrence of such a run. The union over all interva
 longer of the two prefixes shared with their neighbours, so that is what is added up.
 
 A text is kept unless a base rule fails, more than MAX_COVERED of its words are covered, or its longest repeat has over
-MAX_LONGEST words and over MAX_LONGEST_SHARE of the text.
+MAX_LONGEST words or over MAX_LONGEST_SHARE of the text. The first of these binds in long texts, where little need be covered.
 
 Defined results: null is the empty text; texts without words have zeros everywhere and fail the base rule; repeated rows
 give repeated results; any other columns are not read. Texts are read whole; memory grows with the longest text.
@@ -155,7 +155,7 @@ def _block(column: pa.Array) -> dict[str, np.ndarray]:
     out["longest_repeat"] = longest
     counts = w.counts
     out["base_failed"] = (counts < LEAST_WORDS) | (100 * out["n_repeat_words"] > MOST_REPEAT_PERCENT * counts)
-    bad = (out["covered_words"] > MAX_COVERED * counts) | ((longest > MAX_LONGEST) & (longest > MAX_LONGEST_SHARE * counts))
+    bad = (out["covered_words"] > MAX_COVERED * counts) | (longest > MAX_LONGEST) | (longest > MAX_LONGEST_SHARE * counts)
     out["kept"] = ~out["base_failed"] & ~bad
     return out
 
