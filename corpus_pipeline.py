@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarryline.llm import langid, mixing, probminhash, shards, tiling
-from quarryline.llm.shared import Workspace, drop_ids
+from quarryline.llm.shared import Workspace, drop_rows, row_key, small
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,24 +25,23 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     work = Workspace(spark, "pipeline-dedup")
     named = probminhash.NearDuplicates(docs, work).classes()
     # a class of one row is left alone; of the others one row stays
-    gone = work.table(named.where(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select("doc_id").distinct(), "gone")
-    kept = drop_ids(docs, gone, gone.count())
-    twice = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
-    twice = work.table(twice, "twice")
+    gone = work.table(named.where(~F.col("first")).select("doc_id", "row").distinct(), "gone")
+    kept = drop_rows(docs, gone, gone.count())
+    # equal rows: one of them stays
+    twice = work.table(docs.groupBy("doc_id", row_key().alias("row")).agg(F.count("*").alias("n")).where("n > 1").select("doc_id", "row"), "twice")
     n = twice.count()
     if not n:
         return kept
-    # rows that share an id: each different text of theirs stays once
-    again = kept.join(twice, kept["doc_id"].eqNullSafe(twice["doc_id"]), "left_semi").dropDuplicates(["doc_id", "text"])
-    return drop_ids(kept, twice, n).unionByName(again)
+    again = kept.join(small(twice, n), kept["doc_id"].eqNullSafe(twice["doc_id"]) & (row_key(kept) == twice["row"]), "left_semi").dropDuplicates(["doc_id", "text"])
+    return drop_rows(kept, twice, n).unionByName(again)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that a benchmark item leaks into go."""
     work = Workspace(spark, "pipeline-leaks")
-    leaks = tiling.leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    gone = work.table(leaks.select("doc_id").distinct(), "gone")
-    return drop_ids(docs, gone, gone.count())
+    leaks = tiling.leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), with_row=True)
+    gone = work.table(leaks.select("doc_id", "row").distinct(), "gone")
+    return drop_rows(docs, gone, gone.count())
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import Workspace, small
+from .shared import Workspace, row_key, small
 from .text import MARKS, U, Words, blocks, mix, prefix_hashes, span_hash, strings, words
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -209,12 +209,12 @@ class NearDuplicates:
 
     def __init__(self, docs: DataFrame, work: Workspace | None = None):
         self.work = work or Workspace(docs.sparkSession, "neardup")
-        self.docs = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row"))
+        self.docs = docs.select("doc_id", "text", row_key().alias("row"))
         signed = self.docs.select("doc_id", "row", "text").mapInArrow(_sign, "doc_id long, row long, node long, bands array<long>, sketch binary")
         self.signed = self.work.table(signed, "signed")
 
     def classes(self) -> DataFrame:
-        """doc_id, class_id, node of every row."""
+        """doc_id, class_id, node, row of every row, and first: whether it is its class's row with the smallest doc_id (equal rows all are)."""
         work, signed = self.work, self.signed
         nodes = signed.where("node is not null").groupBy("node").agg(F.min("row").alias("row"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
         nodes = work.table(nodes, "nodes")
@@ -275,10 +275,10 @@ class NearDuplicates:
         n = roots.count()
         placed = self.signed.select("doc_id", "row", "node").join(small(roots, n), "node", "left").withColumn("root", F.coalesce("root", "node"))
         placed = self.work.table(placed, "placed")
-        names = placed.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("n")).where("n > 1").select("root", "class_id", F.lit(True).alias("shared"))
+        names = placed.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("n"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row"))["row"].alias("least")).where("n > 1").select("root", "class_id", "least", F.lit(True).alias("shared"))
         names = self.work.table(names, "names")
         named = placed.join(small(names, names.count()), "root", "left")
-        return named.select("doc_id", F.when(F.col("shared"), F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"), "node", "row")
+        return named.select("doc_id", F.when(F.col("shared"), F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"), "node", "row", (F.col("shared").isNull() | (F.col("row") == F.col("least"))).alias("first"))
 
 
 def duplicates(docs: DataFrame, work: Workspace | None = None) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Sides of a join up to this many rows (a few longs each, so under 32 MB) are broadcast; larger ones are shuffled.
@@ -65,7 +65,12 @@ def small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
-def drop_ids(docs: DataFrame, ids: DataFrame, rows: int) -> DataFrame:
-    """docs without the rows whose doc_id is in ids (one column doc_id; a null there drops the rows with a null id)."""
-    gone = ids.select(F.col("doc_id").alias("__gone"))
-    return docs.join(small(gone, rows), docs["doc_id"].eqNullSafe(gone["__gone"]), "left_anti")
+def row_key(docs: DataFrame | None = None) -> Column:
+    """Equal for rows with the same doc_id and text."""
+    return F.xxhash64(*("doc_id", "text") if docs is None else (docs["doc_id"], docs["text"]))
+
+
+def drop_rows(docs: DataFrame, rows: DataFrame, n: int) -> DataFrame:
+    """docs without the n rows (doc_id, row: their row_key); a null doc_id is a value like others."""
+    gone = small(rows.select(F.col("doc_id").alias("__gone"), F.col("row").alias("__row")), n)
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["__gone"]) & (row_key(docs) == gone["__row"]), "left_anti")

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import short_batches
+from .shared import row_key, short_batches
 from .text import MARKS, U, Words, blocks, filled, mix, strings, words
 
 LEAST, COVERAGE = 5, 0.5
@@ -156,8 +156,8 @@ def _seeds(w: Words, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return mix(total), w.text_of[at], at
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, coverage: float = COVERAGE) -> DataFrame:
-    """SCHEMA: a row for each document and each item that leaks into it."""
+def leaks(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, coverage: float = COVERAGE, with_row: bool = False) -> DataFrame:
+    """SCHEMA: a row for each document and each item that leaks into it. with_row: and row, the document's row_key."""
     spark = docs.sparkSession
     short_batches(spark)
     chars = benchmark.agg(F.sum(F.length("text"))).first()[0] or 0
@@ -173,13 +173,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, coverage: f
             items = shared.value
             for batch in batches:
                 ids, found = batch.column(0), []
+                keys = {"row": batch.column(2)} if with_row else {}
                 for at, block in blocks(strings(batch.column(1))):
                     for doc, item, tiles in items.leaks(words(block, MARKS, "full")):
                         n, covered = len(items.hashes[item]), sum(x[2] for x in tiles)
-                        found.append({"doc_id": ids[at + doc].as_py(), "item_id": items.ids[item], "item_words": n, "covered_words": covered, "coverage": covered / n, "longest_tile": tiles[0][2], "tiles": [{"item_start": p, "doc_start": t, "length": k} for p, t, k in tiles]})
+                        found.append({"doc_id": ids[at + doc].as_py(), "item_id": items.ids[item], "item_words": n, "covered_words": covered, "coverage": covered / n, "longest_tile": tiles[0][2], "tiles": [{"item_start": p, "doc_start": t, "length": k} for p, t, k in tiles]} | {n: c[at + doc].as_py() for n, c in keys.items()})
                 if found:
-                    yield pa.RecordBatch.from_pylist(found, schema)
+                    yield pa.RecordBatch.from_pylist(found, pa.schema([*schema, ("row", pa.int64())]) if with_row else schema)
 
-        part = docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
+        part = docs.select("doc_id", "text", *[row_key().alias("row")] * with_row).mapInArrow(run, SCHEMA + ", row long" * with_row)
         out = part if out is None else out.unionByName(part)
     return out
