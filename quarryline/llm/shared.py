@@ -23,15 +23,18 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-#: Rows of a batch handed to Python. Whole texts are long, so batches are short: 1,000 texts of 100 KB are 100 MB.
-BATCH_ROWS = 1000
+#: Rows and bytes of a batch handed to Python. Whole texts and groups of texts are long, so batches are short; a row longer
+#: than BATCH_BYTES is a batch of its own.
+BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
 
 
 def short_batches(spark: SparkSession) -> None:
     """Bounds the session's Arrow batches for operators over whole texts."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key, "10000")) > BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
+    rows, size = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(spark.conf.get(rows)) <= BATCH_ROWS:
+        spark.conf.set(rows, str(BATCH_ROWS))
+    if not 0 < int(spark.conf.get(size).rstrip("b")) <= BATCH_BYTES:
+        spark.conf.set(size, f"{BATCH_BYTES}b")
 
 
 class Workspace:
@@ -54,6 +57,14 @@ class Workspace:
             path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(name))
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
+    def keep(self, *names: str) -> None:
+        """Deletes all tables but those named."""
+        root = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        fs = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        for entry in fs.listStatus(root) if fs.exists(root) else ():
+            if entry.getPath().getName() not in names:
+                fs.delete(entry.getPath(), True)
+
     def mkdirs(self, name: str) -> str:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(name))
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).mkdirs(path)
