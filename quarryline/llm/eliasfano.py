@@ -8,29 +8,35 @@ import numpy as np
 
 from .text import U
 
-_ONES = np.array([bin(b).count("1") for b in range(256)], np.uint8)
-#: Place of the k-th set bit of a byte.
-_PLACE = np.array([([i for i in range(8) if b >> i & 1] + [0] * 8)[:8] for b in range(256)], np.uint8)
+#: Place of the k-th set bit of a byte, at byte * 8 + k.
+_PLACE = np.array([([i for i in range(8) if b >> i & 1] + [0] * 8)[:8] for b in range(256)], np.int64).ravel()
+_EACH, _HIGH = U(0x0101010101010101), U(0x8080808080808080)
 
 
 def _select(words: np.ndarray, before: np.ndarray, k: np.ndarray, ones: bool) -> np.ndarray:
-    """Place of the k-th (from 0) bit that is set (or unset); before: how many such bits come before each word."""
+    """Place of the k-th (from 0) bit that is set (or unset); before: how many such bits come before each word.
+
+    A word's eight bytes are counted and compared side by side in one 64-bit number.
+    """
     word = np.searchsorted(before, k, "right") - 1
-    left = k - before[word]
-    bytes_ = (words[word] if ones else ~words[word]).view(np.uint8).reshape(-1, 8)
-    upto = np.cumsum(_ONES[bytes_], axis=1, dtype=np.uint8)
-    byte = (upto <= left[:, None]).sum(1)
-    row = np.arange(len(k))
-    inside = left - np.where(byte > 0, upto[row, byte - 1], 0)
-    return word.astype(np.int64) * 64 + 8 * byte + _PLACE[bytes_[row, byte], inside]
+    left = (k - before[word]).astype(U)
+    bits = words[word] if ones else ~words[word]
+    count = bits - ((bits >> U(1)) & U(0x5555555555555555))
+    count = (count & U(0x3333333333333333)) + ((count >> U(2)) & U(0x3333333333333333))
+    upto = ((count + (count >> U(4))) & U(0x0F0F0F0F0F0F0F0F)) * _EACH
+    # the high bit of each byte whose sum so far is no more than left
+    passed = ((left * _EACH | _HIGH) - upto) & _HIGH
+    shift = ((passed >> U(7)) * _EACH >> U(56)) * U(8)
+    inside = left - ((upto << U(8) >> shift) & U(0xFF))
+    at = ((bits >> shift) & U(0xFF)) * U(8) + inside
+    return word.astype(np.int64) * 64 + shift.astype(np.int64) + _PLACE[at.astype(np.int64)]
 
 
 class EliasFano:
     """A non-decreasing sequence of n numbers below universe, in about n (2 + log2(universe / n)) bits."""
 
-    def __init__(self, n: int, low_bits: int, low: np.ndarray, high: np.ndarray, ones: np.ndarray):
-        self.n, self.low_bits, self.low, self.high, self.ones = n, low_bits, low, high, ones
-        self.zeros = np.arange(len(high), dtype=np.int64) * 64 - ones[:-1]
+    def __init__(self, n: int, low_bits: int, low: np.ndarray, high: np.ndarray, ones: np.ndarray, zeros: np.ndarray):
+        self.n, self.low_bits, self.low, self.high, self.ones, self.zeros = n, low_bits, low, high, ones, zeros
 
     @staticmethod
     def encode(values: np.ndarray, universe: int) -> dict[str, np.ndarray]:
@@ -48,14 +54,14 @@ class EliasFano:
             np.bitwise_or.at(low, word, part << shift)
             over = np.flatnonzero(shift + U(low_bits) > U(64))
             np.bitwise_or.at(low, word[over] + 1, part[over] >> (U(64) - shift[over]))
-        counts = _ONES[high.view(np.uint8)].reshape(-1, 8).sum(1, dtype=np.int64)
-        ones = np.concatenate([[0], np.cumsum(counts)])
-        return {"shape": np.array([n, low_bits], np.int64), "low": low, "high": high, "ones": ones}
+        ones = np.concatenate([[0], np.cumsum(np.bitwise_count(high), dtype=np.int64)])
+        zeros = np.arange(len(high), dtype=np.int64) * 64 - ones[:-1]
+        return {"shape": np.array([n, low_bits], np.int64), "low": low, "high": high, "ones": ones, "zeros": zeros}
 
     @classmethod
     def of(cls, arrays: dict[str, np.ndarray], name: str) -> EliasFano:
         n, low_bits = (int(x) for x in arrays[f"{name}.shape"])
-        return cls(n, low_bits, arrays[f"{name}.low"], arrays[f"{name}.high"], arrays[f"{name}.ones"])
+        return cls(n, low_bits, *(arrays[f"{name}.{part}"] for part in ("low", "high", "ones", "zeros")))
 
     def _low(self, i: np.ndarray) -> np.ndarray:
         if not self.low_bits:

@@ -6,8 +6,8 @@ Tokens are words of a text with A-Z in small letters, and one end. The model int
     P2(w | v) = (c(v w) - D) / c(v) + g(v) P1(w)          g(v) = 1 - sum over kept w of (c(v w) - D) / c(v)
     P3(w | u v) = (c(u v w) - D) / c(u v) + g(u v) P2(w | v)
 
-n-grams seen less than `least` times are not kept (their mass is in g), so every distribution sums to 1 before quantisation; with
-least = 1, as in the registered query, all are kept. A start mark is a context only.
+All n-grams are kept (a caller may ask for those seen `least` times only; the mass of others is in g), so every
+distribution sums to 1 before quantisation. A start mark is a context only.
 
 Files in the shared folder: the vocabulary in ranges of word hashes (a word's id is its rank), and the trie in shards of
 (first word, second word) hashes, so that no frequent context is one shard's alone. In a shard the levels hold first words, second words under
@@ -16,8 +16,12 @@ the search to a parent's children; the discounted shares and g are 8-bit codes.
 (memory-mapped). Counting sends sorted, delta-coded, compressed blocks of trigrams to the shards; shards and ranges grow in number, not in
 size. Nothing of the model is collected by the driver but sizes.
 
+A shared folder that is a file system on every machine (a mount) is mapped; of another one files are read whole, so the model should
+then fit in a worker's memory.
+
 Defined results: null text is empty: one end token; an empty training set has N = V = 0 and P1 = 1; rows with a null id are
-trained on; repeated rows count repeatedly.
+trained on; repeated rows count repeatedly; texts are read whole, a long one as a block of its own, so memory grows with the
+longest text; only doc_id and text are read, so other columns may have any name.
 """
 
 from __future__ import annotations
@@ -37,7 +41,9 @@ from .langid import fold
 from .shared import Workspace
 from .text import U, Words, blocks, mix, strings, words
 
-DISCOUNT, LEAST_COUNT = 0.75, 2
+DISCOUNT, LEAST_COUNT = 0.75, 1
+#: Shards that a worker holds open.
+OPEN_SHARDS = 512
 #: A block of texts looks into every shard, so it is larger than elsewhere.
 SCORE_BYTES = 4 << 20
 RANGE_WORDS, SHARD_TOKENS, HELD = 500_000, 3_000_000, 2_000_000
@@ -346,17 +352,21 @@ def _unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 @lru_cache(2)
-def _open(root: str, bases: tuple[int, ...], shards: int) -> tuple[Vocabulary, list[Shard | None]]:
+def _words(root: str, bases: tuple[int, ...]) -> Vocabulary:
+    return Vocabulary(root, list(bases))
+
+
+@lru_cache(OPEN_SHARDS)
+def _shard(uri: str) -> Shard | None:
+    """None: no trigram has come to this shard."""
     from pyarrow import fs
 
-    where, folder = fs.FileSystem.from_uri(root)
-    there = [where.get_file_info(f"{folder}/shard-{s:05d}").type == fs.FileType.File for s in range(shards)]
-    return Vocabulary(root, list(bases)), [Shard(f"{root}/shard-{s:05d}") if t else None for s, t in enumerate(there)]
+    where, path = fs.FileSystem.from_uri(uri)
+    return Shard(uri) if where.get_file_info(path).type == fs.FileType.File else None
 
 
 def _score(model: Model, block: pa.Array) -> list[np.ndarray]:
-    vocabulary, shards = _open(model.root, tuple(model.bases), model.shards)
-    size = model.bases[-1]
+    vocabulary, size = _words(model.root, tuple(model.bases)), model.bases[-1]
     w, hashes, first = _tokens(block)
     distinct, back = np.unique(hashes, return_inverse=True)
     ids, counts = (x[back] for x in vocabulary.ids(distinct))
@@ -371,9 +381,9 @@ def _score(model: Model, block: pa.Array) -> list[np.ndarray]:
     order = np.argsort(shard, kind="stable")
     cuts = np.searchsorted(shard[order], np.arange(model.shards + 1))
     for s in range(model.shards):
-        if cuts[s + 1] > cuts[s] and shards[s] is not None:
+        if cuts[s + 1] > cuts[s] and (one := _shard(f"{model.root}/shard-{s:05d}")) is not None:
             mine = known[order[cuts[s] : cuts[s + 1]]]
-            p2[mine], g2[mine], p3[mine] = shards[s].look(u[mine], v[mine], after[mine])
+            p2[mine], g2[mine], p3[mine] = one.look(u[mine], v[mine], after[mine])
     g1 = vocabulary.g(u)
     # the pair before a token is the context of its trigram
     begins = np.zeros(len(at), bool)

@@ -21,7 +21,7 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_ngram_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document, by a model of all n-grams."""
-    return ngram.score_documents(_table(spark, sf_dir, "documents"), least=1)
+    return ngram.score_documents(_table(spark, sf_dir, "documents"))
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,7 +93,7 @@ WITH sized AS (
 label AS (SELECT doc_id, max(quality) AS q FROM labels WHERE quality IS NOT NULL GROUP BY doc_id),
 keyed AS (
   SELECT s.doc_id, s.source, s.size, s.text,
-    -ln((('0x' || substr(md5(s.doc_id::VARCHAR), 1, 13))::BIGINT::DOUBLE + 1.0) / 4503599627370496.0)
+    -ln((('0x' || substr(md5(coalesce(s.doc_id::VARCHAR, '') || ':' || coalesce(md5(s.text), '')), 1, 13))::BIGINT::DOUBLE + 1.0) / 4503599627370496.0)
       / CASE WHEN q >= 1 THEN 2.0::DOUBLE WHEN q IS NOT NULL THEN 0.5::DOUBLE ELSE 1.0::DOUBLE END AS key
   FROM sized s LEFT JOIN label USING (doc_id)),
 per AS (
