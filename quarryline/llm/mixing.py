@@ -7,8 +7,9 @@ prefix-summed, and only the bin where the budget ends is looked into, by finer b
 is sorted.
 
 Defined results: null or empty text has size 0 and takes 0; a null source is a source of its own, after all others; an
-empty table gives an empty mix; rows with the same key (repeated ids) are ordered by id, size and a hash of the text, and
-equal rows in any order. A null, NaN or non-positive quality weight counts as 1.
+empty table gives an empty mix; ties in the key are broken by id, size and a hash of the text; equal rows (id and text)
+are one entry: so many of them are taken as bring the sum nearest. A null, NaN or non-positive quality weight counts as 1. Texts are
+read whole, to be counted. Only doc_id, source and text are read, so other columns may have any name.
 """
 
 from __future__ import annotations
@@ -28,9 +29,9 @@ def size_of(text: str = "text") -> Column:
     return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def uniform(id_column: str = "doc_id", seed: str = "") -> Column:
-    """In (0, 1], from the id's MD5 (52 bits)."""
-    digest = F.md5(F.concat(F.lit(seed), F.coalesce(F.col(id_column).cast("string"), F.lit(""))).cast("binary"))
+def uniform(seed: str = "") -> Column:
+    """In (0, 1], from the MD5 of the id and the text (52 bits), so that rows with a null or repeated id have keys of their own."""
+    digest = F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.coalesce(F.md5("text"), F.lit(""))))
     return (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 1.0) / 4503599627370496.0
 
 
@@ -65,7 +66,7 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, seed: str = "", work:
     """doc_id, text_hash, source, size, source_size, target, epochs (times taken) and taken (words) of each row of docs."""
     spark: SparkSession = docs.sparkSession
     work = work or Workspace(spark, "mixing")
-    sized = docs.select("doc_id", "source", size_of().alias("size"), F.xxhash64("text").alias("text_hash"))
+    sized = docs.select("doc_id", "source", size_of().alias("size"), F.xxhash64("text").alias("text_hash"), uniform(seed).alias("u"))
     if weights is not None:
         rows = weights.count()
         sized = sized.join(small(weights.select("doc_id", "weight"), rows), "doc_id", "left")
@@ -73,7 +74,10 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, seed: str = "", work:
         sized = sized.withColumn("weight", F.lit(1.0))
     weight = F.when((F.col("weight") > 0) & ~F.isnan("weight"), F.col("weight")).otherwise(1.0)
     # 1 - exp(-key) keeps the order of the keys and is uniform at weight 1
-    sized = work.table(sized.withColumn("key", -F.log(uniform(seed=seed)) / weight).withColumn("place", 1 - F.exp(-F.col("key"))), "sized")
+    sized = sized.withColumn("key", -F.log("u") / weight).withColumn("place", 1 - F.exp(-F.col("key"))).drop("u", "weight")
+    # tie: equal for equal rows; part: the task that wrote a row
+    sized = sized.withColumn("tie", F.xxhash64("source", "doc_id", "text_hash")).withColumn("part", F.spark_partition_id())
+    sized = work.table(sized, "sized")
     goal = targets(sized).withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
     goal = work.table(goal.withColumn("need", F.col("target") - F.col("whole") * F.col("source_size")).withColumn("low", F.lit(0.0)).withColumn("width", F.lit(1.0)), "goal")
     n = goal.count()
@@ -101,11 +105,45 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, seed: str = "", work:
             F.when(F.col("last").isNotNull(), F.col("width") / BINS).otherwise(F.col("width")).alias("width"),
         ), f"goal-{step}")
     placed = of(sized, goal)
-    keys = ("key", "doc_id", "size", "text_hash")
-    edge = placed.where(inside & (F.col("need") > 0))
-    running = F.sum("size").over(Window.partitionBy("source").orderBy(*keys).rowsBetween(Window.unboundedPreceding, 0))
-    # a document is taken if that brings the sum nearer to the need
-    edge = edge.withColumn("extra", (running - F.col("size") / 2.0 <= F.col("need")).cast("long"))
+    edge = _edge(work.table(placed.where(inside & (F.col("need") > 0)), "edge"), work)
     rest = placed.where(~(inside & (F.col("need") > 0))).withColumn("extra", ((F.col("place") < F.col("low")) & (F.col("low") > 0)).cast("long"))
-    done = edge.unionByName(rest).withColumn("epochs", F.col("whole") + F.col("extra"))
+    done = edge.unionByName(rest, allowMissingColumns=True).withColumn("epochs", F.col("whole") + F.col("extra"))
     return done.select("doc_id", "text_hash", "source", "size", "source_size", "target", "epochs", (F.col("size") * F.col("epochs")).alias("taken"))
+
+
+def _edge(rows: DataFrame, work: Workspace) -> DataFrame:
+    """rows of the bins where budgets end, with extra: 1 if a row is taken once more.
+
+    Equal rows are one entry with a number of copies in the running sum. Which copies are taken is settled by counts of each
+    task's copies and numbers within a task, so that no group of copies is gathered.
+    """
+    order = Window.partitionBy("source").orderBy("key", "doc_id", "size", "text_hash").rowsBetween(Window.unboundedPreceding, -1)
+    one = rows.groupBy("source", "key", "doc_id", "size", "text_hash", "tie").agg(F.count("*").alias("n"), F.first("need").alias("edge_need"))
+    left = F.col("edge_need") - F.coalesce(F.sum(F.col("n") * F.col("size")).over(order), F.lit(0))
+    # a copy is taken if that brings the sum nearer to the need
+    fit = F.when(F.col("size") > 0, F.floor(left / F.col("size") + 0.5)).when(left >= 0, F.col("n")).otherwise(0)
+    copies = work.table(one.withColumn("copies", F.greatest(F.lit(0), F.least(F.col("n"), fit))).select("tie", "n", "copies"), "copies")
+    known = rows.join(small(copies, copies.count()), "tie")
+    split = (F.col("copies") > 0) & (F.col("copies") < F.col("n"))
+    parts = known.where(split).groupBy("tie", "part").agg(F.count("*").alias("m"))
+    before = F.sum("m").over(Window.partitionBy("tie").orderBy("part")) - F.col("m")
+    number = F.row_number().over(Window.partitionBy("tie", "part").orderBy("size"))
+    some = known.where(split).join(parts.withColumn("before", before), ["tie", "part"]).withColumn("extra", (F.col("before") + number <= F.col("copies")).cast("long"))
+    return known.where(~split).withColumn("extra", (F.col("copies") > 0).cast("long")).unionByName(some.drop("m", "before"))
+
+
+def repeated(docs: DataFrame, mixed: DataFrame, work: Workspace) -> DataFrame:
+    """docs, each row as often as the mix takes it. mixed: mix(docs)."""
+    names = {"source": "__source", "doc_id": "__id", "text_hash": "__hash"}
+    each = mixed.withColumnsRenamed(names).groupBy(*names.values()).agg(F.sum("epochs").alias("__sum"), F.count("*").alias("__n"))
+    each = work.table(each.withColumn("__epochs", F.floor(F.col("__sum") / F.col("__n")).cast("int")).withColumn("__more", (F.col("__sum") % F.col("__n")).cast("int")), "epochs")
+    same = docs["doc_id"].eqNullSafe(F.col("__id")) & docs["source"].eqNullSafe(F.col("__source")) & (F.xxhash64(docs["text"]) == F.col("__hash"))
+    joined = docs.join(each.where("__epochs > 0").hint("merge"), same)
+    out = joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__epochs")))).select(docs.columns)
+    more = each.where("__more > 0")
+    # copies of equal rows that do not come out even: from one of the rows, in blocks
+    if not (n := more.count()):
+        return out
+    blocks = docs.join(small(more, n), same).dropDuplicates(["doc_id", "source", "text"]).withColumn("__from", F.explode(F.sequence(F.lit(1), F.col("__more"), F.lit(1000))))
+    rest = blocks.repartition("__hash", "__from").withColumn("__copy", F.explode(F.sequence(F.col("__from"), F.least(F.col("__from") + 999, F.col("__more")))))
+    return out.unionByName(rest.select(docs.columns))
