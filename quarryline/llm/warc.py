@@ -5,12 +5,16 @@ name the response in WARC-Concurrent-To; a revisit names the response whose payl
 gzip members of one archive a task, written to a temporary name in the shared folder and then moved, so a repeated task
 leaves the same archive.
 
-assemble() reads archives record by record (memory: one record) and joins the records of a capture through their
-concurrent-to identifiers into one nested row. Keys are identifiers of single captures, so no group grows.
+read() takes archives record by record (memory: one record and one piece of _CHUNK bytes); assemble() joins the records of a
+capture through their concurrent-to identifiers into one nested row, and captures() joins revisits to their responses through
+WARC-Refers-To. Keys are identifiers of single captures, so no group grows but that of the revisits of one payload, which are joined
+to a single row.
 
 Defined results: null html is an empty payload; payloads under LEAST bytes are always responses; null page ids work like
-others, after all numbers, and null urls are written as empty; repeated rows are captures of their own, and those with the smallest page_id are all responses;
-an empty table makes no archive and no row.
+others, after all numbers, and null urls are written as empty. Record ids are made of page_id, url and payload, so rows that differ in
+any of these are captures of their own; equal rows are captures with equal records, a row each. Of rows with the smallest page_id of
+a payload all are responses, and revisits name the one with the smallest url. An empty table makes no archive and no row.
+Payloads are held whole, one at a time. Only page_id, url and html are read, so other columns may have any name.
 """
 
 from __future__ import annotations
@@ -49,23 +53,23 @@ def _urn(*parts: object) -> str:
     return f"<urn:uuid:{h[:8]}-{h[8:12]}-5{h[13:16]}-8{h[17:20]}-{h[20:32]}>"
 
 
-def capture(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, revisit: bool) -> bytes:
+def capture(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, refers_to_url: str | None, revisit: bool) -> bytes:
     """The three records of a capture."""
     uri = _line(url)
-    main = _urn(page_id, digest)
+    main = _urn(page_id, url, digest)
     label = f"sha256:{digest}"
     head = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
     extra = {"WARC-Payload-Digest": label}
     if revisit:
-        extra |= {"WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", "WARC-Refers-To": _urn(refers_to, digest)}
+        extra |= {"WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", "WARC-Refers-To": _urn(refers_to, refers_to_url, digest), "WARC-Refers-To-Target-URI": _line(refers_to_url)}
     near = {"WARC-Concurrent-To": main}
     host, _, path = uri.split("://")[-1].partition("/")
     request = f"GET /{path} HTTP/1.1\r\nHost: {host}\r\n\r\n".encode()
-    fields = {"payload-length": len(payload)} | ({} if page_id is None else {"page-id": page_id}) | ({} if not revisit or refers_to is None else {"refers-to-page": refers_to})
+    fields = {} if page_id is None else {"page-id": page_id}
     return (
-        _record("request", _urn("request", page_id, digest), uri, near, "application/http; msgtype=request", request)
+        _record("request", _urn("request", page_id, url, digest), uri, near, "application/http; msgtype=request", request)
         + _record("revisit" if revisit else "response", main, uri, extra, "application/http; msgtype=response", head if revisit else head + payload)
-        + _record("metadata", _urn("metadata", page_id, digest), uri, near, "application/warc-fields", "".join(f"{k}: {v}\r\n" for k, v in fields.items()).encode())
+        + _record("metadata", _urn("metadata", page_id, url, digest), uri, near, "application/warc-fields", "".join(f"{k}: {v}\r\n" for k, v in fields.items()).encode())
     )
 
 
@@ -74,10 +78,11 @@ def write(pages: DataFrame, work: Workspace) -> DataFrame:
     payload = F.encode(F.coalesce(F.col("html"), F.lit("")), "utf-8")
     rows = pages.select("page_id", "url", payload.alias("payload")).withColumn("digest", F.sha2("payload", 256))
     # a null page id comes after all numbers
-    low = F.min(F.struct(F.col("page_id").isNull().alias("none"), "page_id"))
-    shared = rows.where(F.length("payload") >= LEAST).groupBy("digest").agg(low["page_id"].alias("first_page"), F.count("*").alias("n")).where("n > 1").select("digest", "first_page", F.lit(True).alias("shared"))
+    low = F.min(F.struct(F.col("page_id").isNull().alias("none"), "page_id", "url"))
+    shared = rows.where(F.length("payload") >= LEAST).groupBy("digest").agg(low.alias("low"), F.count("*").alias("n")).where("n > 1")
+    shared = shared.select("digest", F.col("low.page_id").alias("first_page"), F.col("low.url").alias("first_url"), F.lit(True).alias("shared"))
     shared = work.table(shared, "shared")
-    rows = rows.join(small(shared, shared.count()), "digest", "left").select("page_id", "url", "payload", "digest", "first_page", (F.coalesce("shared", F.lit(False)) & ~F.col("page_id").eqNullSafe(F.col("first_page"))).alias("revisit"))
+    rows = rows.join(small(shared, shared.count()), "digest", "left").select("page_id", "url", "payload", "digest", "first_page", "first_url", (F.coalesce("shared", F.lit(False)) & ~F.col("page_id").eqNullSafe(F.col("first_page"))).alias("revisit"))
     root = work.mkdirs("archives")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,10 +110,10 @@ def records(stream) -> Iterator[tuple[dict[str, str], bytes]]:
     def pieces() -> Iterator[bytes]:
         unpack, rest = zlib.decompressobj(31), b""
         while data := rest or stream.read(_CHUNK):
-            yield unpack.decompress(data)
-            rest = unpack.unused_data
+            yield unpack.decompress(data, _CHUNK)
+            rest = unpack.unconsumed_tail
             if unpack.eof:
-                unpack = zlib.decompressobj(31)
+                rest, unpack = unpack.unused_data, zlib.decompressobj(31)
 
     held = bytearray()
     more = pieces()
@@ -183,10 +188,18 @@ def assemble(found: DataFrame) -> DataFrame:
 
 
 def captures(pages: DataFrame, work: Workspace | None = None) -> DataFrame:
-    """Archives pages, reads the archives and returns a row for each capture, with page_id, refers_to_page and payload_bytes from its metadata."""
+    """Archives pages, reads the archives and returns a row for each capture.
+
+    page_id is from its metadata; a revisit's refers_to_page and payload_bytes are those of the response that it names.
+    """
     work = work or Workspace(pages.sparkSession, "warc")
     manifest = write(pages, work)
     found = work.table(read(manifest, work.path("archives")), "records")
-    rows = assemble(found)
-    field = lambda name: F.col("metadata.fields")[name].cast("long")
-    return rows.withColumn("page_id", field("page-id")).withColumn("refers_to_page", field("refers-to-page")).withColumn("payload_bytes", F.coalesce("payload_bytes", field("payload-length")))
+    rows = assemble(found).withColumn("page_id", F.col("metadata.fields")["page-id"].cast("long"))
+    # the responses that are named, one row each, of the records alone
+    named = found.where("type = 'revisit'").select(F.col("refers_to").alias("record_id")).distinct()
+    page = found.where("type = 'metadata'").select(F.col("concurrent_to").alias("record_id"), F.col("fields")["page-id"].cast("long").alias("refers_to_page")).join(named, "record_id").dropDuplicates(["record_id"])
+    sizes = found.where("type = 'response'").select("record_id", F.col("payload_bytes").alias("named_bytes")).join(named, "record_id").dropDuplicates(["record_id"])
+    target = work.table(sizes.join(page, "record_id", "left").withColumnRenamed("record_id", "refers_to"), "targets")
+    out = rows.join(small(target, target.count()), "refers_to", "left").withColumn("payload_bytes", F.coalesce("payload_bytes", "named_bytes"))
+    return out.select("record_id", *[c for c in out.columns if c not in ("record_id", "named_bytes")])
