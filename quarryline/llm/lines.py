@@ -6,8 +6,9 @@ removed, overlapping occurrences merged.
 
 Defined results: null text stays null and has no lines; a text of one or two lines has no window and stays as it is; an
 empty table gives an empty table; null ids sort first; rows with the same id are told apart by the hash of the text, and
-equal rows with equal ids are one document, so both lose or keep the same lines. Other columns pass through; columns
-named like a result column are replaced.
+equal rows with equal ids are one document, so both lose or keep the same lines. Ties cannot occur between different
+occurrences. Texts are cut whole: work and memory grow in proportion to the longest one. Other columns pass through; columns
+named like a result column (text, n_lines, n_removed) or covered are replaced.
 """
 
 from __future__ import annotations
@@ -50,11 +51,14 @@ def dedup_lines(docs: DataFrame, work: Workspace | None = None) -> DataFrame:
     rest = [c for c in docs.columns if c not in ("text", "n_lines", "n_removed", "covered")]
     joined = docs.select(*rest, "text").join(covered.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__hash")), "left")
     gone = F.array_distinct(F.flatten(F.transform("covered", lambda w: F.sequence(w, w + (WINDOW - 1)))))
-    numbered = F.transform(_lines(), lambda line, at: F.struct(line.alias("line"), at.alias("at")))
-    # a mark for each line, so that long texts are not searched once a line
-    marks = F.map_from_arrays(F.col("gone"), F.col("gone"))
-    left = F.filter(numbered, lambda x: F.element_at(F.col("marks"), x["at"]).isNull())
-    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(left, lambda x: x["line"]), "\n"))
+
+    def rest_of(lines: Column) -> Column:
+        # array_except is a hash set's work, so long texts are not searched once a line
+        kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone"))
+        return F.array_join(F.transform(kept, lambda at: F.get(lines, at)), "\n")
+
+    # in an array of one, so that the text is cut once
+    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.get(F.transform(F.array(_lines()), rest_of), F.lit(0)))
     n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(_lines())).cast("long")
     n_removed = F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long")
-    return joined.withColumn("gone", gone).withColumn("marks", marks).select(*rest, text.alias("text"), n_lines.alias("n_lines"), n_removed.alias("n_removed"))
+    return joined.withColumn("gone", gone).select(*rest, text.alias("text"), n_lines.alias("n_lines"), n_removed.alias("n_removed"))
