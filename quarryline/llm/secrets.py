@@ -4,12 +4,14 @@ Patterns give spans of kinds assign, access and hex. Candidates of the method ar
 characters of ``[A-Za-z0-9+/_.=-]`` with a letter and a digit; the sum of their log-likelihood ratios (random string
 over identifier, character by character) is compared with a length-proportional threshold; runs above are spans of kind
 markov. Both models are first-order chains over 68 symbols with add-ALPHA smoothing, trained from labelled samples: random strings made
-from SHA-256 (base 64, hexadecimal, upper-case base 32-like, mixed), and the identifiers of the SAMPLE_DOCS documents with the smallest hashes of
-their ids, from which the spans of the patterns have been cut.
+from SHA-256 (base 64, hexadecimal, upper-case base 32-like, mixed), and the identifiers of a sample of documents, from
+which the spans of the patterns have been cut. A document is in the sample if the hash of its id and text is low enough: all
+of up to SAMPLE_DOCS documents, of more about SAMPLE_DOCS (expected; its deviation is that of a binomial count).
 
 Spans are in code points, end exclusive. Defined results: null text is empty text: no spans, the SHA-256 of the empty
-string; an empty table trains on random strings alone and returns no rows; repeated rows give repeated results; ties in
-the sample are broken by id and text. Texts are scanned whole, whatever their length.
+string; an empty table trains on random strings alone and returns no rows; repeated rows give repeated results and are in the
+sample together; spans that start together are in the order of kinds. Texts are scanned whole, whatever their length. scan()
+passes other columns through, but for one named spans, which it replaces; report() reads doc_id and text only.
 """
 
 from __future__ import annotations
@@ -30,6 +32,8 @@ RUN = r"[A-Za-z0-9+/_.=-]{16,}"
 #: The least mean log-likelihood ratio (nats a character) of a random string.
 THRESHOLD = 0.9
 SAMPLE_DOCS, SAMPLE_RANDOM, ALPHA = 1000, 4000, 0.5
+#: Matches of a text that are placed one after the other.
+CHUNK = 256
 SYMBOLS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-"
 
 
@@ -39,12 +43,29 @@ def found(text: Column, pattern: str) -> Column:
     between = F.split(text, pattern, -1)
     steps = F.zip_with(F.slice(between, 1, F.size(values)), values, lambda gap, value: F.struct(F.length(gap).alias("gap"), value.alias("value")))
     empty = F.array().cast("array<struct<start:int,end:int,value:string>>")
-    start = F.struct(F.lit(0).alias("at"), empty.alias("out"))
+
     def add(acc: Column, x: Column) -> Column:
         begin = acc["at"] + x["gap"]
         end = begin + F.length(x["value"])
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(begin.alias("start"), end.alias("end"), x["value"].alias("value")))).alias("out"))
-    return F.when(F.size(values) > 0, F.aggregate(steps, start, add, lambda acc: acc["out"])).otherwise(empty)
+        return F.struct(end.alias("at"), F.array_append(acc["out"], F.struct(begin.alias("start"), end.alias("end"), x["value"].alias("value"))).alias("out"))
+
+    def placed(some: Column, at: Column) -> Column:
+        return F.aggregate(some, F.struct(at.alias("at"), empty.alias("out")), add, lambda acc: acc["out"])
+
+    def pieces(every: Column) -> Column:
+        # an array that grows by one is copied each time, so matches are placed in pieces of CHUNK, each from its own start
+        parts = F.transform(F.sequence(F.lit(0), F.ceil(F.size(every) / CHUNK).cast("int") - 1), lambda k: F.slice(every, k * CHUNK + 1, CHUNK))
+        none = F.array().cast("array<struct<at:int,part:array<struct<gap:int,value:string>>>>")
+
+        def move(acc: Column, part: Column) -> Column:
+            size = F.aggregate(part, F.lit(0), lambda n, x: n + x["gap"] + F.length(x["value"]))
+            return F.struct((acc["at"] + size).alias("at"), F.array_append(acc["out"], F.struct(acc["at"].alias("at"), part.alias("part"))).alias("out"))
+
+        begun = F.aggregate(parts, F.struct(F.lit(0).alias("at"), none.alias("out")), move, lambda acc: acc["out"])
+        return F.flatten(F.transform(begun, lambda p: placed(p["part"], p["at"])))
+
+    few = F.get(F.transform(F.array(steps), lambda every: F.when(F.size(every) > CHUNK, pieces(every)).otherwise(placed(every, F.lit(0)))), F.lit(0))
+    return F.when(F.size(values) > 0, few).otherwise(empty)
 
 
 def _spans(text: Column, kind: str) -> Column:
@@ -75,8 +96,9 @@ def random_strings(spark) -> DataFrame:
 
 def identifiers(docs: DataFrame) -> DataFrame:
     """Labelled ordinary: value. A bounded sample, see SAMPLE_DOCS."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    sample = docs.select("doc_id", text.alias("text")).orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(SAMPLE_DOCS)
+    rows, places = docs.count(), 1 << 40
+    chosen = F.lit(True) if rows <= SAMPLE_DOCS else F.pmod(F.xxhash64("doc_id", "text"), F.lit(places)) < places * SAMPLE_DOCS // rows
+    sample = docs.where(chosen).select(F.coalesce("text", F.lit("")).alias("text"))
     clean = F.regexp_replace(F.regexp_replace(F.regexp_replace("text", ASSIGN, " "), ACCESS, " "), HEX, " ")
     runs = sample.select(F.explode(F.regexp_extract_all(clean, F.lit("[A-Za-z0-9+/_.=-]{2,}"), F.lit(0))).alias("value"))
     return runs.where(~(F.col("value").rlike("[0-9]") & (F.length("value") >= CANDIDATE_CHARS)))
