@@ -5,8 +5,8 @@ the same way; the distance to a language adds up how far each is out of place th
 
 Defined results: null text, text without a letter and an empty set of profiles give ``und`` with score 0. Ties between
 languages go to the smaller name, ties between n-grams to the smaller hash. Rows without a language are not learned
-from. Repeated rows count repeatedly. Other columns of the input pass through untouched; a column that has the name of
-a result column is replaced by it.
+from. Repeated rows count repeatedly; an empty table gives no rows. Texts are read whole, a long one as a block of its own. Other
+columns of the input pass through untouched; a column that has the name of a result column is replaced by it.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -96,10 +96,13 @@ def learn(rows: DataFrame, text: Column | str = "text", lang: Column | str = "la
     text, lang = (F.col(x) if isinstance(x, str) else x for x in (text, lang))
     short_batches(rows.sparkSession)
     counts = rows.select(text.alias("text"), lang.alias("lang")).where("lang is not null").mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    # the most frequent of a hash class first, so that no language's n-grams meet in one task
-    parts = counts.groupBy("lang", F.pmod("gram", F.lit(64)).alias("part")).agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("n"), "gram"))), 1, size).alias("top"))
-    best = parts.select("lang", F.explode("top").alias("top")).groupBy("lang").agg(F.slice(F.sort_array(F.collect_list("top")), 1, size).alias("top"))
-    return {r["lang"]: np.array([x["gram"] for x in r["top"]], np.int64) for r in best.orderBy("lang").collect()}
+    # Spark cuts each task's n-grams to the first of a language before they meet in one
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.col("n").desc(), "gram"))
+    best = counts.withColumn("rank", rank).where(F.col("rank") <= size)
+    out: dict[str, list[int]] = {}
+    for r in sorted(best.collect(), key=lambda r: (r["lang"], r["rank"])):
+        out.setdefault(r["lang"], []).append(r["gram"])
+    return {lang: np.array(grams, np.int64) for lang, grams in out.items()}
 
 
 def _predict(profiles: dict[str, np.ndarray], size: int, block: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -129,12 +132,12 @@ def _predict(profiles: dict[str, np.ndarray], size: int, block: pa.Array) -> tup
     return best, np.clip(score, 0, 1)
 
 
-def predict(docs: DataFrame, profiles: dict[str, np.ndarray], text: str = "text", size: int = PROFILE, keep_text: bool = False) -> DataFrame:
-    """docs (without the text, unless it is kept) with lang_pred and score (1: every n-gram in its place; 0: none known)."""
+def predict(docs: DataFrame, profiles: dict[str, np.ndarray], text: str = "text", size: int = PROFILE, keep_text: bool = False, result: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """docs (without the text, unless it is kept) with lang_pred and score (1: every n-gram in its place; 0: none known), or as result names them."""
     short_batches(docs.sparkSession)
-    rest = [c for c in docs.columns if c not in (text, "lang_pred", "score")]
+    rest = [c for c in docs.columns if c not in (text, *result)]
     kept = [*rest, text] if keep_text else rest
-    schema = T.StructType([docs.schema[c] for c in kept] + [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    schema = T.StructType([docs.schema[c] for c in kept] + [T.StructField(result[0], T.StringType()), T.StructField(result[1], T.DoubleType())])
     names = np.array([*profiles, "und"], object)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,7 +146,7 @@ def predict(docs: DataFrame, profiles: dict[str, np.ndarray], text: str = "text"
             found = [_predict(profiles, size, block) for _, block in blocks(whole)] or [(np.zeros(0, int), np.zeros(0))]
             lang = names[np.concatenate([f[0] for f in found])]
             columns = [batch.column(k) for k in range(len(kept))] + [pa.array(lang, pa.string()), pa.array(np.concatenate([f[1] for f in found]))]
-            yield pa.RecordBatch.from_arrays(columns, [*kept, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays(columns, [*kept, *result])
 
     return docs.select(*rest, text).mapInArrow(run, schema)
 
