@@ -5,24 +5,26 @@ benchmark item that share seeds of LEAST words are tiled: the longest unmarked c
 again, down to LEAST words. The item leaks if its tiles cover COVERAGE of its words, in whatever order they come.
 
 Only pairs whose shared seeds could reach that coverage are tiled: a tile consists of seeds, so this loses nothing. The
-benchmark is handed to the tasks in blocks of BLOCK_CHARS characters, one scan of the documents each, so no block grows
-with the data.
+benchmark is dealt to blocks of about BLOCK_CHARS characters in the shared folder. The documents are scanned once a block, and each
+task reads that block there, so neither the driver nor a task holds more of the benchmark than a block (or one longer item).
 
 Defined results: items with null text or fewer than LEAST words are never found; null documents are empty and clean;
 rows with the same doc_id or item_id each count by themselves; ties between runs of equal length go to the earlier place
-in the item, then in the document; empty tables give no rows.
+in the item, then in the document; empty tables give no rows. Documents are read whole, a long one as a block of its own. Only
+doc_id, item_id and the texts are read, so other columns may have any name.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import row_key, short_batches
+from .shared import Workspace, row_key
 from .text import MARKS, U, Words, blocks, filled, mix, strings, words
 
 LEAST, COVERAGE = 5, 0.5
@@ -156,21 +158,31 @@ def _seeds(w: Words, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return mix(total), w.text_of[at], at
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, coverage: float = COVERAGE, with_row: bool = False) -> DataFrame:
+@lru_cache(1)
+def _items(uri: str, least: int, coverage: float) -> Items:
+    """The block of the benchmark in a folder; none is made for a block without items."""
+    from pyarrow import dataset, fs
+
+    where, folder = fs.FileSystem.from_uri(uri)
+    if where.get_file_info(folder).type != fs.FileType.Directory:
+        return Items([], [], least, coverage)
+    rows = dataset.dataset(folder, format="parquet", filesystem=where).to_table(columns=["item_id", "text"]).sort_by([("item_id", "ascending"), ("text", "ascending")])
+    return Items(rows["item_id"].to_pylist(), rows["text"].to_pylist(), least, coverage)
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, coverage: float = COVERAGE, with_row: bool = False, work: Workspace | None = None, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """SCHEMA: a row for each document and each item that leaks into it. with_row: and row, the document's row_key."""
-    spark = docs.sparkSession
-    short_batches(spark)
+    work = work or Workspace(docs.sparkSession, "tiling")
     chars = benchmark.agg(F.sum(F.length("text"))).first()[0] or 0
-    parts = -(-chars // BLOCK_CHARS) or 1
+    parts = -(-chars // block_chars) or 1
+    dealt = benchmark.where("text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text", F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)).cast("int").alias("block"))
+    dealt.repartition(min(parts, 1000), "block").write.partitionBy("block").parquet(work.path("benchmark"))
     out = None
     for k in range(parts):
-        rows = benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k).where("text is not null").select("item_id", "text").orderBy("item_id", "text").collect()
-        items = Items([r[0] for r in rows], [r[1] for r in rows], least, coverage)
-        shared = spark.sparkContext.broadcast(items)
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], uri=f"{work.path('benchmark')}/block={k}") -> Iterator[pa.RecordBatch]:
             schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("item_words", pa.int64()), ("covered_words", pa.int64()), ("coverage", pa.float64()), ("longest_tile", pa.int64()), ("tiles", pa.list_(pa.struct([("item_start", pa.int32()), ("doc_start", pa.int32()), ("length", pa.int32())])))])
-            items = shared.value
+            items = _items(uri, least, coverage)
             for batch in batches:
                 ids, found = batch.column(0), []
                 keys = {"row": batch.column(2)} if with_row else {}
