@@ -9,9 +9,12 @@ Token blocks are a compressed table in the shared folder, so sizes are known bef
 twice. Fragments of sequences are sent to the task of their shard and written in slot order, to a temporary name and
 then moved: a repeated task writes the same bytes again.
 
+Scan order is that of Spark's splits of the input, so the same files under the same split sizes give the same shards.
+
 Defined results: null and empty texts are one end token; an empty table makes no shard and no row; repeated rows are
-repeated documents; strings like those of special tokens are ordinary text. Tokens are little-endian uint16, or uint32
-for vocabularies of more than 65,536.
+repeated documents, each in its place, so there are no ties; strings like those of special tokens are ordinary text. A text is
+encoded whole, so memory grows with the longest one. Only doc_id and text are read, so other columns may have any name. Tokens
+are little-endian uint16, or uint32 for vocabularies of more than 65,536.
 """
 
 from __future__ import annotations
@@ -36,6 +39,8 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SEQUENCE, SHARD_SEQUENCES = 2048, 8192
 BLOCK_TOKENS = 1 << 16
+#: Tasks that write shards; beyond this number of shards a task writes several, one after the other.
+WRITERS = 20_000
 ROUNDS = 6
 RESULT = "slot long, sequence long, shard long, byte_offset long, n_tokens int, doc_ids array<long>, sha256 string"
 
@@ -206,7 +211,8 @@ def materialise(docs: DataFrame, work: Workspace | None = None, seed: int = 0, v
         yield batch_of()
 
     placed = blocks.select("part", "first", "n", "data", "doc_ids", "starts").mapInArrow(place, "shard long, slot long, sequence long, offset long, data binary, doc_ids array<long>")
-    dealt = placed.repartitionById(n_shards, F.col("shard").cast("int")).sortWithinPartitions("shard", "slot", "offset")
+    writers = min(n_shards, WRITERS)
+    dealt = placed.repartitionById(writers, F.floor(F.col("shard") * writers / n_shards).cast("int")).sortWithinPartitions("shard", "slot", "offset")
     done = work.table(dealt.mapInArrow(write, RESULT), "index")
     work.drop("tokens")
     return done
