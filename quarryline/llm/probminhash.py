@@ -9,14 +9,17 @@ occurs twice or more, as both sets are equal elsewhere.
 1. Equal word sequences are one node. Registers make BANDS bands of ROWS in each set; nodes that agree on a band meet in its bucket.
 2. Each bucket's most central member (most meetings over all bands) is compared with the others; confirmed pairs are links.
 3. What is left: pairs of a bucket that are in different components of these links. They are compared, in the first bucket
-   that they share, block by block, so a bucket of any size is worked off by many tasks, and no pair that agrees on a band of a set goes untested unless
-   its nodes are in one class already.
+   that they share, block by block, so a bucket of any size is worked off by many tasks, and no pair that agrees on a band of a
+   set goes untested unless its nodes are in one class already. The members of a bucket's largest component go only to
+   blocks of others, so a large group with a few strays costs its size, not its square.
 4. A pair is tested on all registers first (one byte each), and dropped if the estimates of both sets are under CUT, 4.5 standard errors
    below the threshold; then on the whole shingle sets: plain Jaccard or exact probability Jaccard must reach SIMILARITY.
 
 Words are runs of ASCII letters, digits and non-ASCII characters in small letters. Defined results: a text of 1 to 4
 words is one shingle; null texts and texts without words are in a class of their own each; repeated rows are in one
-class; a class is named by its smallest doc_id, or null if all its ids are null; an empty table gives no rows.
+class; a class is named by its smallest doc_id, or null if all its ids are null; an empty table gives no rows. A similarity of
+exactly SIMILARITY links. Texts are read whole: memory grows with the longest one, which is a block of its own. Only doc_id and
+text are read, so other columns may have any name.
 """
 
 from __future__ import annotations
@@ -261,11 +264,17 @@ class NearDuplicates:
         """Links between members of a bucket that are not in one component."""
         n = roots.count()
         placed = members.select("key", "node").join(small(roots, n), "node", "left").withColumn("root", F.coalesce("root", "node"))
-        mixed = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).where("low < high").select("key", F.ceil(F.col("n") / BUCKET_BLOCK).cast("int").alias("parts"))
+        shares = placed.groupBy("key", "root").agg(F.count("*").alias("m"))
+        mixed = shares.groupBy("key").agg(F.max(F.struct("m", "root")).alias("most"), F.sum("m").alias("n"), F.count("*").alias("roots")).where("roots > 1")
+        blocks_of = lambda n: F.ceil(n / BUCKET_BLOCK).cast("int")
+        # parts 0 to inner - 1: the largest component; from inner on: the others
+        mixed = mixed.select("key", F.col("most.root").alias("major"), blocks_of(F.col("most.m")).alias("inner"), blocks_of(F.col("n") - F.col("most.m")).alias("outer"))
         mixed = self.work.table(mixed, "mixed")
         open_ = placed.join(small(mixed, mixed.count()), "key").join(self._wanted.select("node", "sketch", "bands"), "node").join(self._texts, "node")
-        part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
-        cells = open_.withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        of_major, place = F.col("root") == F.col("major"), F.xxhash64("node")
+        part = F.when(of_major, F.pmod(place, F.col("inner"))).otherwise(F.col("inner") + F.pmod(place, F.col("outer"))).cast("int")
+        least = F.when(of_major, F.col("inner")).otherwise(0)
+        cells = open_.withColumn("part", part).withColumn("other", F.explode(F.sequence(least, F.col("inner") + F.col("outer") - 1)))
         # in the cell of two parts, side 0 is the smaller part and 1 the other; 2: a part with itself
         side = F.when(F.col("part") == F.col("other"), 2).when(F.col("part") < F.col("other"), 0).otherwise(1)
         cells = cells.groupBy("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j")).agg(F.collect_list(F.struct("node", "root", "sketch", "bands", "text", side.alias("side"))).alias("members"))
