@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import Workspace, small
+from .shared import Workspace, free_name, small
 
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE, MOST_EPOCHS = 1.5, 2.0
@@ -134,16 +134,22 @@ def _edge(rows: DataFrame, work: Workspace) -> DataFrame:
 
 def repeated(docs: DataFrame, mixed: DataFrame, work: Workspace) -> DataFrame:
     """docs, each row as often as the mix takes it. mixed: mix(docs)."""
-    names = {"source": "__source", "doc_id": "__id", "text_hash": "__hash"}
-    each = mixed.withColumnsRenamed(names).groupBy(*names.values()).agg(F.sum("epochs").alias("__sum"), F.count("*").alias("__n"))
-    each = work.table(each.withColumn("__epochs", F.floor(F.col("__sum") / F.col("__n")).cast("int")).withColumn("__more", (F.col("__sum") % F.col("__n")).cast("int")), "epochs")
-    same = docs["doc_id"].eqNullSafe(F.col("__id")) & docs["source"].eqNullSafe(F.col("__source")) & (F.xxhash64(docs["text"]) == F.col("__hash"))
-    joined = docs.join(each.where("__epochs > 0").hint("merge"), same)
-    out = joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__epochs")))).select(docs.columns)
-    more = each.where("__more > 0")
-    # copies of equal rows that do not come out even: from one of the rows, in blocks
-    if not (n := more.count()):
+    each = mixed.groupBy("doc_id", "source", "text_hash").agg(F.sum("epochs").alias("sum"), F.count("*").alias("n"))
+    epochs, more = F.floor(F.col("sum") / F.col("n")).cast("int"), (F.col("sum") % F.col("n")).cast("int")
+    mark = free_name(docs, "mix")
+    taken = work.table(each.select(F.struct("doc_id", "source", "text_hash", epochs.alias("epochs"), more.alias("more")).alias(mark)), "epochs")
+    of = lambda name: F.col(f"{mark}.{name}")
+    same = docs["doc_id"].eqNullSafe(of("doc_id")) & docs["source"].eqNullSafe(of("source")) & (F.xxhash64(docs["text"]) == of("text_hash"))
+
+    def exploded(rows: DataFrame, numbers: Column) -> DataFrame:
+        return rows.select(*docs.columns, F.explode(numbers).alias(mark)).select(docs.columns)
+
+    out = exploded(docs.join(taken.where(of("epochs") > 0).hint("merge"), same), F.sequence(F.lit(1), of("epochs")))
+    uneven = taken.where(of("more") > 0)
+    if not (n := uneven.count()):
         return out
-    blocks = docs.join(small(more, n), same).dropDuplicates(["doc_id", "source", "text"]).withColumn("__from", F.explode(F.sequence(F.lit(1), F.col("__more"), F.lit(1000))))
-    rest = blocks.repartition("__hash", "__from").withColumn("__copy", F.explode(F.sequence(F.col("__from"), F.least(F.col("__from") + 999, F.col("__more")))))
-    return out.unionByName(rest.select(docs.columns))
+    # copies of equal rows that do not come out even: from one of the rows, in blocks
+    start = free_name(docs, "mix_from")
+    one = docs.join(small(uneven, n), same).dropDuplicates(["doc_id", "source", "text"])
+    blocks = one.select("*", F.explode(F.sequence(F.lit(1), of("more"), F.lit(1000))).alias(start)).repartition(of("text_hash"), F.col(start))
+    return out.unionByName(exploded(blocks, F.sequence(F.col(start), F.least(F.col(start) + 999, of("more")))))

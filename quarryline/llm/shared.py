@@ -71,6 +71,14 @@ class Workspace:
         return self.path(name)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def small(df: DataFrame, rows: int) -> DataFrame:
     """df, marked for broadcast if its counted rows are within the bound."""
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
