@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarryline.llm import langid, mixing, probminhash, shards, tiling
-from quarryline.llm.shared import Workspace, drop_rows, row_key, small
+from quarryline.llm.shared import Workspace, drop_rows, free_name, row_key, small
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,8 +22,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Where no row has a language to learn from, all go. Equal rows have equal results; ties go to the language with the smaller name.
     """
     profiles = langid.learn(docs.where(langid.fold() != 0))
-    found = langid.predict(docs, profiles, keep_text=True, result=("__lang", "__score"))
-    return found.where((F.col("__lang") != "und") & (F.col("__score") >= langid.MIN_SCORE)).select(docs.columns)
+    lang, score = free_name(docs, "lang_pred"), free_name(docs, "score")
+    found = langid.predict(docs, profiles, keep_text=True, result=(lang, score))
+    return found.where((F.col(lang) != "und") & (F.col(score) >= langid.MIN_SCORE)).select(docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
