@@ -378,7 +378,9 @@ def _score(model: Model, block: pa.Array) -> list[np.ndarray]:
     known = np.flatnonzero((u >= 0) & (v >= 0))
     p2, g2, p3 = np.zeros(len(at)), np.ones(len(at)), np.zeros(len(at))
     shard = shard_of(u[known], v[known], model.shards)
-    order = np.argsort(shard, kind="stable")
+    # in the order of the levels, so that neighbouring searches read neighbouring bits
+    order = np.argsort(u[known] * size + v[known])
+    order = order[np.argsort(shard[order].astype(np.uint16 if model.shards < 1 << 16 else np.int64), kind="stable")]
     cuts = np.searchsorted(shard[order], np.arange(model.shards + 1))
     for s in range(model.shards):
         if cuts[s + 1] > cuts[s] and (one := _shard(f"{model.root}/shard-{s:05d}")) is not None:
