@@ -19,11 +19,13 @@ LATIN, CJK_RUN = "[a-z0-9_]+", "[\\u4e00-\\u9fff]+"
 WILDCARD = r"(?i)(?<![a-z0-9_])[a-z][a-z0-9.]*\s*/\s*\*(?![a-z0-9_])"
 INTENTS = [
     ("history", r"(?i)(?:之前|上次|讨论|会话|当时|历史|previous|last\s+(?:time|session)|history)"),
-    ("exact", r"(?i)(?:原文|逐字|代码|字段|field\s+id|api|record|script|exact|verbatim)"),
-    ("compare", r"(?i)(?:比较|区别|差异|对比|compare|versus|vs\.?|difference)"),
+    ("exact_evidence", r"(?i)(?:原文|逐字|代码|字段|field\s+id|api|record|script|exact|verbatim)"),
+    ("comparison", r"(?i)(?:比较|区别|差异|对比|compare|versus|vs\.?|difference)"),
     ("research", r"(?i)(?:研究|深入|调研|research|deep\s+dive)"),
-    ("howto", r"(?i)(?:步骤|怎么|如何|怎样|流程|做法|配置|安装|介绍|指南|guide|how\s+to|steps?|setup|configure|install)"),
+    ("concept", r"(?i)(?:步骤|怎么|如何|怎样|流程|做法|配置|安装|介绍|指南|guide|how\s+to|steps?|setup|configure|install)"),
 ]
+#: A Latin name of three or more characters.
+ENTITY = r"(?U)\b[A-Za-z][\w.:-]{2,}\b"
 REDACTIONS = [
     (r"(?U)\b1[3-9]\d{9}\b", "[REDACTED_PHONE]"),
     (r"(?U)\b[\w.+-]+@[\w-]+(?:\.[\w-]+)+\b", "[REDACTED_EMAIL]"),
@@ -67,13 +69,13 @@ def latin_tokens(c: Column | str) -> Column:
     return _without(F.regexp_extract_all(F.regexp_replace(casefold(c), WILDCARD, " "), F.lit(LATIN), F.lit(0)), STOPWORDS)
 
 
-def _pairs(run: Column) -> Column:
+def pairs_of(run: Column) -> Column:
     return F.when(F.length(run) == 1, F.array(run)).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(F.length(run) - 1, F.lit(1))), lambda i: F.substring(run, i, F.lit(2))))
 
 
 def cjk_tokens(c: Column | str) -> Column:
     runs = F.regexp_extract_all(F.regexp_replace(casefold(c), WILDCARD, " "), F.lit(CJK_RUN), F.lit(0))
-    return F.flatten(F.transform(runs, _pairs))
+    return F.flatten(F.transform(runs, pairs_of))
 
 
 def tokens(c: Column | str) -> Column:
@@ -122,12 +124,12 @@ def namespace_wildcards(c: Column | str) -> Column:
 
 
 def intent(c: Column | str) -> Column:
-    """The first of INTENTS that occurs; else entity for a short question without one, else concept."""
+    """The first of INTENTS that occurs; else exact_entity if there is a Latin name, else concept."""
     text = text_of(c)
     chain = None
     for name, pattern in INTENTS:
         chain = F.when(text.rlike(pattern), name) if chain is None else chain.when(text.rlike(pattern), name)
-    return chain.when(F.size(F.split(F.trim(text), r"\s+")) <= 3, "entity").otherwise("concept")
+    return chain.when(text.rlike(ENTITY), "exact_entity").otherwise("concept")
 
 
 def language_bucket(c: Column | str) -> Column:

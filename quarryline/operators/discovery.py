@@ -12,7 +12,7 @@ ASKS = r"(?i)\b(?:all|every|list|each|which|enumerate|overview of)\b|所有|全
 EXPLAINS = r"(?i)\b(?:explain|what is|what does|why|meaning)\b|是什么|解释|含义"
 SOURCE_PAGES, ENTITIES_SHOWN, BATCH, PER_ENTITY = 8, 40, 40, 80
 PUBLIC_BYTES = 128 * 1024
-TITLE, HEADING, PATH, BODY, FULL = 3.0, 2.0, 1.5, 1.0, 7.5
+TITLE, HEADING, PATH, BODY = 3.0, 2.0, 1.5, 1.0
 AMBIGUOUS = 0.93
 QUALIFIED = r"(?i)(?<![a-z0-9_])[a-z][a-z0-9.]*/[a-z][a-z0-9_-]*(?:/[a-z][a-z0-9_-]*)*(?![a-z0-9_/])"
 
@@ -85,12 +85,46 @@ def entity_queries(entities: DataFrame, questions: DataFrame) -> DataFrame:
     return entities.join(base, "query_id").select("query_id", F.concat_ws("\0", F.col("query_id").cast("string"), "label").alias("entity_id"), "label", F.trim(F.concat_ws(" ", "label", "rest")).alias("question"))
 
 
-def match_signals(label: Column | str, title: Column | str, heading: Column | str, path: Column | str, body: Column | str) -> Column:
-    """Share of the places that name an alias: title 3, heading 2, path 1.5, body 1."""
-    name = T.casefold(label)
-    def at(c: Column | str, weight: float) -> Column:
-        return F.when((name != "") & F.contains(T.casefold(c), name), weight).otherwise(0.0)
-    return (at(title, TITLE) + at(heading, HEADING) + at(path, PATH) + at(body, BODY)) / FULL
+def alias_pattern(alias: Column) -> Column:
+    """A pattern for an alias whose parts may be joined by slash, blank, underscore or hyphen; empty for one without parts."""
+    parts = F.filter(F.split(T.casefold(alias), r"[/\s_-]+"), lambda p: p != "")
+    quoted = F.transform(parts, lambda p: F.regexp_replace(p, r"([^\p{L}\p{N}_])", r"\\$1"))
+    return F.when(F.size(parts) > 0, F.concat(F.lit("(?<![a-z0-9_])"), F.array_join(quoted, r"[/\s_-]+"), F.lit("(?![a-z0-9_])"))).otherwise("")
+
+
+def match_signals(aliases: Column, score: Column, title: Column | str, heading: Column | str, path: Column | str, body: Column | str) -> Column:
+    """score with points added for the places that name an alias (title 3, heading 2, path 1.5, body 1), exact, and which places do."""
+    known = F.filter(aliases, lambda a: F.trim(a) != "")
+
+    def named(c: Column | str) -> Column:
+        return T.bind(T.casefold(c), lambda text: F.exists(known, lambda a: F.contains(text, T.casefold(a)) | ((alias_pattern(a) != "") & F.rlike(text, alias_pattern(a)))))
+
+    places = {"title": (named(title), TITLE), "heading": (named(heading), HEADING), "path": (named(path), PATH), "body": (named(body), BODY)}
+    points = sum((F.when(at, w).otherwise(0.0) for at, w in places.values()), F.lit(0.0))
+    any_ = places["title"][0] | places["heading"][0] | places["path"][0] | places["body"][0]
+    return F.struct(F.bround(F.greatest(score, F.lit(0.0)) + points, 12).alias("score"), any_.alias("exact"), *[at.alias(name) for name, (at, _) in places.items()])
+
+
+def entity_ladder(entities: DataFrame, corpus, where: Column | None = None, limit: int = PER_ENTITY) -> DataFrame:
+    """query_id (the entity's), passage_id, path, ordinal, score, rank: each entity by its identifier or name, else strictly by its
+    question, else by any of its words.
+
+    entities: entity_id, label, question. All entities go down the ladder together.
+    """
+    from . import lexical
+
+    name = entities.select(F.col("entity_id").alias("query_id"), F.col("label").alias("question"))
+    asked = entities.select(F.col("entity_id").alias("query_id"), "question")
+    known = name.withColumn("n", F.size(lexical.identifiers("question")))
+    first = lexical.search(known.where("n > 0").drop("n"), corpus, "qualified", limit, where).unionByName(lexical.search(known.where("n = 0").drop("n"), corpus, "strict", limit, where))
+    steps = [first, lexical.search(asked, corpus, "strict", limit, where), lexical.search(asked, corpus, "relaxed", limit, where)]
+    return lexical.ladder(steps, "descend_if_empty")
+
+
+def entity_pages(hits: DataFrame) -> DataFrame:
+    """The best passage of each page of an entity: hits (entity_id, path, passage_id, signal struct of match_signals)."""
+    w = Window.partitionBy("entity_id", "path").orderBy(F.col("signal.score").desc(), F.col("passage_id").desc())
+    return hits.withColumn("__k", F.row_number().over(w)).where("__k = 1").drop("__k")
 
 
 def statuses(entities: DataFrame, hits: DataFrame) -> DataFrame:
@@ -105,6 +139,12 @@ def statuses(entities: DataFrame, hits: DataFrame) -> DataFrame:
     return joined.select("entity_id", status.alias("status"), F.round(F.coalesce(F.col("a.signal"), F.lit(0.0)), 6).alias("confidence"), F.col("a.path").alias("path"))
 
 
+def overall_status(states: DataFrame) -> DataFrame:
+    """query_id, status of a question's entities together: ok, partial or unresolved. states: query_id, status."""
+    n = states.groupBy("query_id").agg(F.count("*").alias("n"), F.count_if(F.col("status") == "ok").alias("ok"), F.count_if(F.col("status") == "unresolved").alias("lost"))
+    return n.select("query_id", F.when(F.col("ok") == F.col("n"), "ok").when(F.col("lost") == F.col("n"), "unresolved").otherwise("partial").alias("status"))
+
+
 def batch(entities: DataFrame, offset: int = 0, size: int = BATCH) -> DataFrame:
     """A batch of a question's entities from an offset on; more says whether there are others."""
     w = Window.partitionBy("query_id").orderBy("ordinal", "label")

@@ -145,3 +145,8 @@ def gate_metrics(cases: DataFrame) -> DataFrame:
         F.avg((~F.get("before", F.lit(0)).eqNullSafe(F.get("after", F.lit(0)))).cast("double")).alias("top1_flip_rate"),
         F.avg(F.when(union > 0, F.size(F.array_intersect("before", "after")) / union).otherwise(1.0)).alias("mean_jaccard"),
     )
+
+
+def side_effects(before: dict[str, str], after: dict[str, str]) -> list[str]:
+    """Names of tables whose fingerprint an evaluation changed, or that came or went; none if it left all as it was."""
+    return sorted(name for name in before.keys() | after.keys() if before.get(name) != after.get(name))

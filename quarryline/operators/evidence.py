@@ -84,12 +84,18 @@ def hop(questions: DataFrame, initial: DataFrame, passages: DataFrame, find: Cal
     body = passages.select("passage_id", "text", "title", "path")
     asked = questions.select("query_id", "question")
 
-    def judged(found: DataFrame) -> DataFrame:
+    def judged(found: DataFrame, pool: DataFrame) -> DataFrame:
+        """found, in the light of the texts of pool: only the question's words among theirs count, so no texts are gathered."""
         full = found.join(body, "passage_id").join(asked, "query_id")
-        return full.withColumn("evidence", judge("question", "text", "title", "path"))
+        wanted = asked.select("query_id", F.explode(T.judge_tokens("question")).alias("word"))
+        said = pool.select("query_id", "passage_id").join(body.select("passage_id", "text"), "passage_id").select("query_id", F.explode(T.judge_tokens("text")).alias("word"))
+        around = said.join(wanted, ["query_id", "word"], "left_semi").groupBy("query_id").agg(F.collect_set("word").alias("around"))
+        scored = full.join(around, "query_id", "left").withColumn("around", F.coalesce("around", F.array().cast("array<string>")))
+        return scored.withColumn("evidence", judge("question", "text", "title", "path", F.col("around"))).drop("around")
 
     first = initial.withColumn("order", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "passage_id"))).where(F.col("order") <= POOL)
-    pool = cut(judged(first.select("query_id", "passage_id", "score", F.col("order").cast("long").alias("order"), F.lit(0).alias("hop"))))
+    first = first.select("query_id", "passage_id", "score", F.col("order").cast("long").alias("order"), F.lit(0).alias("hop"))
+    pool = cut(judged(first, first))
     used, spent, stops = None, None, None
     for step in range(1, hops + 1):
         best = Window.partitionBy("query_id").orderBy(F.col("evidence").desc(), "passage_id")
@@ -108,7 +114,8 @@ def hop(questions: DataFrame, initial: DataFrame, passages: DataFrame, find: Cal
         have = pool.groupBy("query_id").agg(F.max("order").alias("have"))
         new = new.withColumn("k", F.row_number().over(Window.partitionBy("query_id").orderBy("at", "passage_id"))).join(have, "query_id", "left")
         new = new.withColumn("order", F.col("k") + F.coalesce("have", F.lit(0))).where(F.col("order") <= JUDGED)
-        found = cut(judged(new.select("query_id", "passage_id", "score", F.col("order").cast("long").alias("order"), F.lit(step).alias("hop"))))
+        new = new.select("query_id", "passage_id", "score", F.col("order").cast("long").alias("order"), F.lit(step).alias("hop"))
+        found = cut(judged(new, pool.select("query_id", "passage_id").unionByName(new.select("query_id", "passage_id"))))
         counts = asked.select("query_id").join(terms.groupBy("query_id").agg(F.count("*").alias("n_terms")), "query_id", "left").join(found.groupBy("query_id").agg(F.count("*").alias("n_new"), F.max("order").alias("last")), "query_id", "left")
         why = F.when(F.col("n_terms").isNull(), "no_expansion_terms").when(F.col("n_new").isNull(), "no_new_candidates").when(F.col("last") >= JUDGED, "judge_budget").otherwise("max_hops" if step == hops else None)
         now = counts.select("query_id", why.alias("stop"), F.lit(step).alias("step"))

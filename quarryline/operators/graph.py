@@ -119,3 +119,15 @@ def merge_scores(scored: DataFrame, graph: DataFrame, passages: DataFrame) -> Da
 def stored_edges(links: DataFrame, pages: DataFrame) -> DataFrame:
     """Edges whose source page has not changed since they were extracted."""
     return links.join(pages.select(F.col("path").alias("src"), F.col("redacted_hash").alias("source_hash")), ["src", "source_hash"], "left_semi")
+
+
+def page_links(pages: DataFrame, links: DataFrame, kinds: tuple[str, ...] = ("wikilink", *RELATIONS)) -> DataFrame:
+    """path, links (kind, target, in order) of every page; empty for a page without any."""
+    some = links.where(F.col("kind").isin(*kinds) & F.col("target").isNotNull()).groupBy(F.col("src").alias("path")).agg(F.array_sort(F.collect_list(F.struct("kind", "ordinal", "target"))).alias("links"))
+    none = F.array().cast(some.schema["links"].dataType)
+    return pages.select("path").join(some, "path", "left").withColumn("links", F.coalesce("links", none))
+
+
+def typed_edges(links: DataFrame) -> DataFrame:
+    """src, kind, dst of resolved links that state a relation."""
+    return links.where(F.col("kind").isin(*RELATIONS) & F.col("target").isNotNull()).select("src", "kind", F.col("target").alias("dst"))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -70,16 +68,35 @@ def relaxed_scores(hits: DataFrame, as_of: Column, scope: str = "knowledge") ->
     return hits.where(F.col("rank") <= RELAXED_LIMIT).withColumn("score", score)
 
 
-def is_strong(question: Column | str, title: Column | str, aliases: Column, evidence: Column, body_evidence: bool = False) -> Column:
-    """Whether a hit is no accident: the title is in the question, an alias or a phrase of two words meets, or most words (none generic) do."""
-    q, t = T.title_tokens(question), T.title_tokens(title)
-    both = F.array_intersect(q, t)
-    if not body_evidence:
-        both = F.array_except(both, T.strings(T.GENERIC_TITLE_TOKENS))
-    key = T.alias_key(question)
-    names = F.concat(F.array(T.text_of(title)), F.coalesce(aliases, F.array().cast("array<string>")))
-    named = T.bind(key, lambda k: F.exists(names, lambda a: (F.length(T.alias_key(a)) >= 4) & F.contains(k, T.alias_key(a))))
-    return named | (F.size(both) >= 2) | ((F.size(both) == 1) & (F.size(q) <= 2)) | (F.coalesce(evidence, F.lit(0.0)) >= 0.5)
+def is_strong(question: Column | str, title: Column | str, path: Column | str, text: Column | str, aliases: Column | None = None, extra: Column | None = None, body_evidence: bool = True) -> Column:
+    """Whether a hit is more than words in common: the title, a phrase, an identifier or a title word tells.
+
+    aliases: spellings of the question's identifiers; extra: expansion terms. Without body_evidence the body tells nothing, and of
+    title words one that is not generic, or two, must meet.
+    """
+    none = F.array().cast("array<string>")
+    q, name, where = F.trim(T.casefold(question)), T.casefold(title), T.casefold(path)
+    place = F.concat_ws("\n", name, where)
+    hay = F.concat_ws("\n", place, T.casefold(text)) if body_evidence else place
+    aliases, extra = (none if c is None else F.transform(F.coalesce(c, none), lambda x: T.casefold(x)) for c in (aliases, extra))
+    phrases = F.transform(T.multiword_runs(question), lambda r: T.casefold(r))
+
+    def said(terms: Column, text: Column) -> Column:
+        return T.bind(text, lambda t: F.exists(terms, lambda x: (x != "") & F.contains(t, x)))
+
+    words, mine = F.array_distinct(T.tokens(question)), F.array_distinct(T.tokens(title))
+    met = F.array_intersect(mine, F.array_union(words, extra))
+    near = T.bind(words, lambda ws: F.filter(mine, lambda m: (F.length(m) >= 4) & F.exists(ws, lambda w: (w != m) & (F.length(w) >= 4) & (F.levenshtein(w, m, 1) == 1))))
+
+    def enough(overlap: Column) -> Column:
+        if body_evidence:
+            return F.size(overlap) > 0
+        return (F.size(F.array_except(overlap, T.strings(T.GENERIC_TITLE_TOKENS))) >= 1) | (F.size(overlap) >= 2)
+
+    named = (name != "") & (F.contains(q, name) | F.contains(name, q))
+    whole = (F.length(q) >= 4) & ((q == name) | (q == where))
+    tells = named | whole | said(phrases, hay) | said(aliases, hay) | said(extra, place) | enough(met) | ((F.size(near) > 0) & enough(F.array_union(met, near)))
+    return (q != "") & F.coalesce(tells, F.lit(False))
 
 
 def raw_scores(hits: DataFrame, variant: bool = False) -> DataFrame:
@@ -109,26 +126,33 @@ def raw_merge(wiki: DataFrame, raw: DataFrame, kinds: DataFrame, k: int = RRF_K,
     return ranked.withColumn("fusion_score", F.bround((k + 1) / (k + F.col("source_rank")), 12))
 
 
-@dataclass(frozen=True)
-class Fallback:
-    """State of the opt-in ladder."""
+# The branches of the opt-in ladder with what each writes into the envelope. level, reason, lexical mode.
+FALLBACKS = {
+    "coverage": ("raw", "wiki_primary_missing_latin_coverage", None), "all_coverage": ("raw", "wiki_primary_missing_latin_coverage", None),
+    "wiki_relaxed": ("none", None, "relaxed"), "raw_zero_weak": ("raw", "wiki_weak_primary", "raw"), "raw_zero_empty": ("raw", "wiki_zero_results", "raw"),
+}
+
+
+def plan_fallback(primary: Column, uncovered: Column, scope: Column, strong: Column, raw_available: Column, relaxed_answered: Column, relaxed_available: Column) -> Column:
+    """branch, level, reason, mode of the next step of the opt-in ladder; null where there is none.
 
-    has_results: bool
-    strong: bool
-    uncovered: bool
-    raw_available: bool
-    relaxed_tried: bool = False
+    primary: the first stage found something; strong: what it found is; uncovered: Latin words of the question are missing in
+    it; raw_available: yes, no or unknown.
+    """
+    wide, raw = scope.isin("knowledge", "all"), raw_available.isin("unknown", "yes")
+    branch = (
+        F.when(primary & uncovered & wide, "coverage").when(~primary & (scope == "all") & relaxed_answered & uncovered & raw, "all_coverage")
+        .when(~primary & wide & relaxed_available, "wiki_relaxed").when(~strong & wide & raw, F.when(primary, "raw_zero_weak").otherwise("raw_zero_empty"))
+    )
+    table = F.create_map(*[x for name, (level, reason, mode) in FALLBACKS.items() for x in (F.lit(name), F.struct(F.lit(level).alias("level"), F.lit(reason).cast("string").alias("reason"), F.lit(mode).cast("string").alias("mode")))])
+    got = F.get(F.array(table[branch]), F.lit(0))
+    name = F.regexp_replace(branch, "_(weak|empty)$", "")
+    return F.when(branch.isNotNull(), F.struct(name.alias("branch"), got["level"].alias("level"), got["reason"].alias("reason"), got["mode"].alias("mode")))
 
 
-def plan_fallback(s: Fallback) -> str:
-    """The next step: none, coverage, wiki_relaxed, all_coverage or raw_zero."""
-    if s.has_results and s.strong:
-        return "coverage" if s.uncovered and s.raw_available else "none"
-    if not s.relaxed_tried:
-        return "wiki_relaxed"
-    if s.has_results:
-        return "all_coverage" if s.uncovered and s.raw_available else "none"
-    return "raw_zero" if s.raw_available else "none"
+def wants_raw(kind: Column, scope: Column) -> Column:
+    """Whether one strict search of the raw pages follows an empty or weak pool."""
+    return (kind != "strong") & scope.isin("knowledge", "all")
 
 
 def envelope(level: str, reasons: list[str], paths: list[str]) -> Column:

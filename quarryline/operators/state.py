@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 
 STAGES = ["dependencies", "retrieval", "navigation", "overview", "audit_log"]
-# Moves the archive's state machine allows, and limits of notes.
-TRANSITIONS = [
-    ("planned", "staging"), ("staging", "staged"), ("staged", "committing"), ("committing", "archived"), ("archived", "restoring"), ("restoring", "restored"),
-    ("staging", "failed"), ("committing", "failed"), ("restoring", "archived"), ("archived", "purged"), ("failed", "staging"),
-]
-LOCKED_FIELDS = ("title", "type", "project", "created", "source_hashes", "generated")
+# Moves the archive's state machine allows, fields that an update must not change, and limits of notes.
+TRANSITIONS = {
+    "planned": ("staged", "rolling_back", "failed_recoverable"), "staged": ("pending", "rolling_back", "failed_recoverable"), "pending": ("detaching", "rolling_back", "failed_recoverable"),
+    "detaching": ("committed", "rolling_back", "failed_recoverable"), "failed_recoverable": ("rolling_back", "detaching"), "rolling_back": ("rolled_back",), "committed": (), "rolled_back": (),
+}
+LOCKED_FIELDS = ("type", "concept_id", "entity_id", "entity_type", "created", "source_path", "source_hash")
+STRUCTURAL = ("wiki/index.md", "wiki/log.md", "wiki/overview.md")
 ALIASES_MOST, ALIAS_CHARS, QUESTIONS_MOST, QUESTION_CHARS = 20, 120, 20, 300
 
 
@@ -72,27 +73,41 @@ def consume(plans: DataFrame, ids: DataFrame, now: Column) -> DataFrame:
     return rows.withColumn("consumed_at", F.when(F.col("__mine") & F.col("claimed_at").isNotNull() & F.col("consumed_at").isNull(), now).otherwise(F.col("consumed_at"))).drop("__mine")
 
 
-def archive_plan(targets: DataFrame, pages: DataFrame, links: DataFrame, cascade: bool = False) -> DataFrame:
-    """path, role (target, dependent), blocker (null if none). links: src, target."""
+def knowledge_blocker(path: Column, generated: Column, lifecycle: Column, replaced_by: Column, explicit: bool = True, namespace: str | None = None) -> Column:
+    """Why a wiki page may not be archived; null if it may. Pages of a forced namespace may."""
+    generated, lifecycle = F.coalesce(generated, F.lit(False)), T.text_of(lifecycle)
+    forced = T.path_matches_prefix(path, namespace) if namespace else F.lit(False)
+    why = F.when(~generated & F.lit(not explicit), "manual_page_protected").when(lifecycle.isin("stale", "review_required"), "archive_lifecycle_ineligible")
+    why = why.when(generated & ~lifecycle.isin("superseded", "deprecated", "archive-ready"), "archive_lifecycle_ineligible").when((lifecycle == "superseded") & (T.text_of(replaced_by) == ""), "replaced_by_required")
+    return F.when(~forced, why)
+
+
+def archive_plan(targets: DataFrame, pages: DataFrame, edges: DataFrame, cascade: bool = False, explicit: bool = False, namespace: str | None = None) -> DataFrame:
+    """path, role (target, dependent), blocker (null if none), dependents (their number, of a raw target).
+
+    pages: path, generated, lifecycle_status, replaced_by; edges: source_path, page_path. A raw page that pages depend on
+    goes only with them (cascade); then each of these must be free to go.
+    """
+    have = pages.select("path", "generated", "lifecycle_status", "replaced_by", F.lit(True).alias("there"))
     asked = targets.select("path").distinct()
-    linked = links.join(asked.select(F.col("path").alias("target")), "target").select(F.col("src").alias("path"), "target").where("path <> target")
-    outside = linked.join(asked, "path", "left_anti")
-    rows = asked.withColumn("role", F.lit("target"))
-    if cascade:
-        rows = rows.union(outside.select("path").distinct().withColumn("role", F.lit("dependent")))
-    held = outside.groupBy(F.col("target").alias("path")).agg(F.count("*").alias("inbound"))
-    known = pages.select("path", "lifecycle_status", F.coalesce("protected", F.lit(False)).alias("protected"))
-    both = rows.join(known, "path", "left").join(held, "path", "left")
-    blocker = F.when(F.col("lifecycle_status").isNull(), "missing").when(F.col("protected"), "protected").when(F.col("lifecycle_status") == "archived", "already_archived")
+    of = edges.join(asked.withColumnRenamed("path", "source_path"), "source_path").where(F.startswith("source_path", F.lit("raw/"))).select("source_path", "page_path").distinct()
+    fed = of.groupBy(F.col("source_path").alias("path")).agg(F.count("*").alias("dependents"))
+    own = knowledge_blocker(F.col("path"), F.col("generated"), F.col("lifecycle_status"), F.col("replaced_by"), explicit, namespace)
+    outside = ~(F.startswith("path", F.lit("wiki/")) | F.startswith("path", F.lit("raw/")))
+    place = F.when(outside, "invalid_archive_target").when(F.col("path").isin(*STRUCTURAL), "structural_page_protected").when(F.col("there").isNull(), "archive_target_missing")
+    held = F.when((F.coalesce("dependents", F.lit(0)) > 0) & F.lit(not cascade), "archive_dependency_blocked")
+    rows = asked.join(have, "path", "left").join(fed, "path", "left")
+    out = rows.select("path", F.lit("target").alias("role"), F.coalesce(place, F.when(F.startswith("path", F.lit("raw/")), held).otherwise(own)).alias("blocker"), F.coalesce("dependents", F.lit(0)).cast("long").alias("dependents"))
     if not cascade:
-        blocker = blocker.when(F.col("inbound") > 0, "inbound_links")
-    return both.select("path", "role", blocker.alias("blocker"))
+        return out
+    more = of.select(F.col("page_path").alias("path")).distinct().join(asked, "path", "left_anti").join(have, "path", "left")
+    return out.unionByName(more.select("path", F.lit("dependent").alias("role"), F.coalesce(place, own).alias("blocker"), F.lit(0).cast("long").alias("dependents")))
 
 
 def invalid_transitions(moves: DataFrame) -> DataFrame:
     """moves (operation_id, old_state, new_state) the state machine refuses."""
-    allowed = moves.sparkSession.createDataFrame(TRANSITIONS, "old_state string, new_state string")
-    return moves.join(F.broadcast(allowed), ["old_state", "new_state"], "left_anti")
+    after = F.create_map(*[x for state, to in TRANSITIONS.items() for x in (F.lit(state), T.strings(to))])
+    return moves.where(~F.coalesce(F.array_contains(after[F.col("old_state")], F.col("new_state")), F.lit(False)))
 
 
 def restore_plan(items: DataFrame, pages: DataFrame) -> DataFrame:
@@ -101,12 +116,18 @@ def restore_plan(items: DataFrame, pages: DataFrame) -> DataFrame:
     return both.select("path", F.when(F.col("have").isNull(), "restore").when(F.col("have") == F.col("content_hash"), "skip").otherwise("conflict").alias("action"))
 
 
-def purge(archives: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Refused requests with a reason, and tombstones of the others."""
-    both = requests.join(archives.select("archive_id", "state"), "archive_id", "left")
-    reason = F.when(F.col("state").isNull(), "unknown_archive").when(~F.coalesce("authorized", F.lit(False)), "not_authorized").when(F.col("state") != "archived", "wrong_state")
-    rows = both.withColumn("why", reason)
-    return rows.where("why is not null").select("archive_id", "why"), rows.where("why is null").select("archive_id", "forget", "reason")
+def purge(archives: DataFrame, requests: DataFrame, active: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Refused requests (archive_id, forget, reason) with why, and tombstones of the others.
+
+    items: archive_id, path of what each archive holds; active: source_path of what live pages still refer to. A tombstone keeps the
+    hashes of its paths, unless they are to be forgotten.
+    """
+    in_use = items.join(active.select(F.col("source_path").alias("path")).distinct(), "path", "left_semi").groupBy("archive_id").agg(F.count("*").alias("used"))
+    hashes = items.groupBy("archive_id").agg(F.array_sort(F.collect_set(F.concat(F.lit("sha256:"), F.sha2("path", 256)))).alias("path_hashes"))
+    both = requests.join(archives.select("archive_id", F.lit(True).alias("there")), "archive_id", "left").join(in_use, "archive_id", "left").join(hashes, "archive_id", "left")
+    rows = both.withColumn("why", F.when(F.col("there").isNull(), "archive_not_found").when(F.col("used") > 0, "purge_active_reference"))
+    kept = F.when(F.col("forget"), F.array().cast("array<string>")).otherwise(F.coalesce("path_hashes", F.array().cast("array<string>")))
+    return rows.where("why is not null").select("archive_id", "why"), rows.where("why is null").select("archive_id", "forget", "reason", kept.alias("path_hashes"))
 
 
 def recover_restores(journal: DataFrame) -> DataFrame:
@@ -137,8 +158,8 @@ def updates(requests: DataFrame, pages: DataFrame, plans: DataFrame, now: Column
     plan = plan_status(plans, now).select("plan_id", F.col("base_hash").alias("plan_base"), F.col("intent_hash").alias("plan_intent"), F.col("status").alias("plan_status"))
     both = requests.join(known, "path", "left").join(plan, "plan_id", "left")
     outcome = (
-        F.when(F.col("have").isNull(), "not_found").when(F.col("lifecycle_status") != "active", "inactive_page").when(F.arrays_overlap("fields", T.strings(LOCKED_FIELDS)), "locked_field")
-        .when(F.size("sources") == 0, "empty_sources").when(~F.col("expected_hash").eqNullSafe(F.col("have")), "hash_mismatch").when(F.col("structural") & F.col("plan_status").isNull(), "plan_required")
+        F.when(F.col("have").isNull(), "page_not_found").when(F.col("lifecycle_status") != "active", "inactive_page").when(F.arrays_overlap("fields", T.strings(LOCKED_FIELDS)), "locked_field")
+        .when(F.array_contains("fields", F.lit("sources")) & (F.size("sources") == 0), "sources_required").when(~F.col("expected_hash").eqNullSafe(F.col("have")), "hash_mismatch").when(F.col("structural") & F.col("plan_status").isNull(), "update_plan_required")
         .when(F.col("plan_status").isin("expired", "consumed"), F.concat(F.lit("plan_"), F.col("plan_status"))).when(F.col("plan_status").isNotNull() & ((F.col("plan_base") != F.col("have")) | (F.col("plan_intent") != F.col("intent_hash"))), "plan_mismatch")
         .otherwise("apply")
     )

@@ -98,15 +98,21 @@ def revisions(saves: DataFrame) -> DataFrame:
     return rows.select("session_id", name(F.col("__n")).alias("revision"), F.when(F.col("__n") > 1, name(F.col("__n") - 1)).alias("parent"), "append_only", delta.alias("delta_line"), "saved_at")
 
 
+# Headings of roles, and any heading on a line of its own.
+ROLE = r"(?im)^#{1,6}[ \t]*(?:user|assistant)[ \t]*:?[ \t]*$"
+HEADING = r"(?m)^#{1,6}[ \t]*([^\n:]+)[ \t]*:?[ \t]*$"
+
+
 def valid_chat(content: Column | str) -> Column:
-    """Whether a transcript begins with a role heading and names only user and assistant."""
-    text = T.text_of(content)
-    roles = F.transform(F.regexp_extract_all(text, F.lit(r"(?m)^##\s+(\w+)\s*$"), F.lit(1)), lambda r: F.lower(r))
-    return (F.size(roles) > 0) & F.forall(roles, lambda r: r.isin("user", "assistant")) & F.trim(text).rlike(r"^##\s+(?i:user|assistant)")
+    """Whether a transcript begins with a role and has no other headings than user and assistant."""
+    text = F.trim(F.regexp_replace(T.text_of(content), r"^\s+|\s+$", ""))
+    names = F.transform(F.regexp_extract_all(text, F.lit(HEADING), F.lit(1)), lambda r: F.lower(F.trim(F.regexp_replace(r, r"^\s+|\s+$", ""))))
+    first = text.rlike(r"^(?i)#{1,6}[ \t]*(?:user|assistant)[ \t]*:?[ \t]*(?:\n|$)")
+    return first & F.forall(names, lambda r: r.isin("user", "assistant"))
 
 
 def message_count(content: Column | str) -> Column:
-    return F.regexp_count(T.text_of(content), F.lit(r"(?mi)^##\s+(?:user|assistant)\s*$"))
+    return F.regexp_count(T.text_of(content), F.lit(ROLE))
 
 
 class Runner:
