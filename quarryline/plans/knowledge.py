@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import markdown, vectors
 from ..functions import text as T
-from ..operators import catalog, context, discovery, evaluation, filters, graph, lexical, quality, state
+from ..operators import catalog, context, discovery, evaluation, filters, graph, lexical, quality, recovery, state
 from ..sources import pages as source_pages
 from ..streaming import jobs
 from .tables import benchmark_queries, document_corpus, document_pages, table
@@ -60,15 +60,21 @@ FROM conversations a, (VALUES (-1), (1)) v(o) JOIN conversations b ON b.conv_id
 
 
 def bigram_jaccard_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), T.bigrams(T.alias_key("s_name")).alias("grams"))
-    return catalog.similar_pairs(p, 0.9).select("a", "b", F.round("jaccard", 9).alias("jaccard"))
+    """Pairs of part names alike by 0.6 or more. Equal sets of bigrams are one name: a, b are their smallest keys, na and nb their sizes."""
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), T.bigrams(T.alias_key("p_name")).alias("grams"))
+    names = p.groupBy(F.array_sort("grams").alias("grams")).agg(F.min("id").alias("id"), F.count("*").alias("n"))
+    pairs = catalog.similar_pairs(names).select("a", "b", F.round("jaccard", 9).alias("jaccard"))
+    size = names.select("id", "n")
+    return pairs.join(size.withColumnsRenamed({"id": "a", "n": "na"}), "a").join(size.withColumnsRenamed({"id": "b", "n": "nb"}), "b").select("a", "b", "na", "nb", "jaccard")
 
 
 BIGRAM_SQL = """
-WITH k AS (SELECT s_suppkey AS id, regexp_replace(lower(s_name), '[^a-z0-9]+', '', 'g') AS key FROM supplier),
-g AS (SELECT id, list_distinct([substr(key, i, 2) for i in range(1, length(key))]) AS grams FROM k)
-SELECT a.id AS a, b.id AS b, round(len(list_intersect(a.grams, b.grams))::DOUBLE / len(list_distinct(list_concat(a.grams, b.grams))), 9) AS jaccard
-FROM g a JOIN g b ON a.id < b.id WHERE len(list_intersect(a.grams, b.grams))::DOUBLE / len(list_distinct(list_concat(a.grams, b.grams))) >= 0.9
+WITH k AS (SELECT p_partkey AS id, regexp_replace(lower(p_name), '[^a-z0-9]+', '', 'g') AS key FROM part),
+e AS (SELECT id, list_sort(list_distinct([substr(key, i, 2) for i in range(1, length(key))])) AS grams FROM k),
+g AS (SELECT min(id) AS id, count(*) AS n, grams FROM e GROUP BY grams),
+m AS (SELECT id, n, len(grams) AS size, unnest(grams) AS gram FROM g),
+met AS (SELECT x.id AS a, y.id AS b, x.n AS na, y.n AS nb, x.size AS sa, y.size AS sb, count(*) AS shared FROM m x JOIN m y ON x.gram = y.gram AND x.id < y.id GROUP BY ALL)
+SELECT a, b, na, nb, round(shared::DOUBLE / (sa + sb - shared), 9) AS jaccard FROM met WHERE shared::DOUBLE / (sa + sb - shared) >= 0.6
 """
 
 
@@ -77,20 +83,20 @@ def _network(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Da
     s = table(spark, sf_dir, "supplier")
     line = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey", "l_orderkey")
     orders = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).select(F.col("o_orderkey").alias("l_orderkey"), "c_custkey")
-    edges = line.where("l_partkey % 50 = 0").join(orders, "l_orderkey").select(F.concat(F.lit("s"), F.col("l_suppkey")).alias("src"), F.concat(F.lit("c"), F.col("c_custkey")).alias("dst"))
+    edges = line.join(orders, "l_orderkey").select(F.concat(F.lit("s"), F.col("l_suppkey")).alias("src"), F.concat(F.lit("c"), F.col("c_custkey")).alias("dst"))
     one = s.select(F.concat(F.lit("s"), F.col("s_suppkey")).alias("seed"), "s_nationkey")
     pairs = one.join(one.select(F.col("seed").alias("target"), "s_nationkey"), "s_nationkey").where("seed < target").select("seed", "target")
-    sources = line.where("l_partkey % 50 = 0").select(F.concat(F.lit("s"), F.col("l_suppkey")).alias("path"), F.col("l_partkey").cast("string").alias("source"))
+    sources = line.select(F.concat(F.lit("s"), F.col("l_suppkey")).alias("path"), F.col("l_partkey").cast("string").alias("source"))
     types = s.select(F.concat(F.lit("s"), F.col("s_suppkey")).alias("path"), F.col("s_nationkey").cast("string").alias("page_type"))
     return graph.neighbours(edges), pairs, sources, types
 
 
 _NETWORK = """
-e AS (SELECT DISTINCT 's' || l_suppkey AS s, 'c' || o_custkey AS c FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_partkey % 50 = 0),
+e AS (SELECT DISTINCT 's' || l_suppkey AS s, 'c' || o_custkey AS c FROM lineitem JOIN orders ON o_orderkey = l_orderkey),
 adj AS (SELECT s AS node, c AS other FROM e UNION SELECT c, s FROM e),
 deg AS (SELECT node, count(*) AS d FROM adj GROUP BY node),
 pairs AS (SELECT 's' || a.s_suppkey AS seed, 's' || b.s_suppkey AS target FROM supplier a JOIN supplier b USING (s_nationkey) WHERE 's' || a.s_suppkey < 's' || b.s_suppkey),
-src AS (SELECT DISTINCT 's' || l_suppkey AS path, l_partkey AS source FROM lineitem WHERE l_partkey % 50 = 0),
+src AS (SELECT DISTINCT 's' || l_suppkey AS path, l_partkey AS source FROM lineitem),
 com AS (
   SELECT seed, target, count(*) AS n, sum(1.5::DOUBLE / ln(d + 1)) AS score FROM pairs JOIN adj x ON x.node = seed JOIN adj y ON y.node = target AND y.other = x.other JOIN deg ON deg.node = x.other WHERE d > 1 GROUP BY ALL),
 sha AS (SELECT seed, target, count(*) AS n, count(*) * 4.0::DOUBLE AS score FROM pairs JOIN src x ON x.path = seed JOIN src y ON y.path = target AND y.source = x.source GROUP BY ALL)
@@ -151,9 +157,8 @@ FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN orders ON o_orderkey =
 
 
 def redact_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select("doc_id", "text", T.redact("text").alias("after"))
-    counts = T.redaction_counts(F.col("text"), F.col("after"))
-    return d.select("doc_id", *[c.alias(n) for n, c in counts.items()]).where(" + ".join(counts) + " > 0")
+    d = table(spark, sf_dir, "documents").select("doc_id", T.redacted("text").alias("r"))
+    return d.where("r.total > 0").select("doc_id", *[F.col(f"r.counts.{n}").alias(n) for n in T.REDACTION_LABELS])
 
 
 def _redact_sql() -> str:
@@ -169,32 +174,82 @@ def _redact_sql() -> str:
 def _observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
     w = Window.partitionBy("source").orderBy(F.col("n_chars").desc(), "doc_id")
-    return d.select(F.col("source").alias("query_id"), F.col("n_chars").cast("double").alias("score"), (F.col("quality") == 1).alias("accepted"), (F.col("n_chars") - F.lead("n_chars").over(w)).cast("double").alias("margin"), (1.0 - F.col("toxic")).alias("coverage"), F.col("lang").alias("language"), F.lit("lexical").alias("family"), F.lit("knowledge").alias("scope"), F.lit("main").alias("branch"), F.lit("lexical").alias("mode"))
+    family = F.when(F.col("doc_id") % 3 == 0, "wiki_relaxed").otherwise("main_rrf")
+    mode = F.when(F.col("doc_id") % 2 == 0, "hybrid").otherwise("lexical")
+    return d.select(
+        "doc_id", F.col("source").alias("query_id"), F.col("n_chars").cast("double").alias("score"), (F.col("quality") == 1).alias("accepted"), (F.col("n_chars") - F.lead("n_chars").over(w)).cast("double").alias("margin"),
+        (1.0 - F.col("toxic")).alias("coverage"), F.col("lang").alias("language"), family.alias("family"), F.lit("knowledge").alias("scope"), mode.alias("mode"), F.col("source").alias("source_kind"),
+    )
 
 
 def calibration_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = evaluation.calibration_buckets(_observations(spark, sf_dir), ["language"])
-    return b.select("language", "samples", "accepted_samples", *[F.round(c, 9).alias(c) for c in ("min_ratio", "min_margin", "min_coverage", "ratio_median")], "status")
+    """Buckets by all five parts of a key."""
+    b = evaluation.calibration_buckets(_observations(spark, sf_dir), list(quality.KEYS))
+    return b.select(*quality.KEYS, "samples", "accepted_samples", *[F.round(c, 9).alias(c) for c in ("min_ratio", "min_margin", "min_coverage", "ratio_median")], "status")
 
 
 _OBSERVED = """
-o AS (SELECT source AS query_id, lang AS language, n_chars::DOUBLE AS score, quality = 1 AS accepted, (n_chars - lead(n_chars) OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id))::DOUBLE AS margin, 1.0::DOUBLE - toxic AS coverage FROM documents JOIN labels USING (doc_id)),
+o AS (
+  SELECT doc_id, source AS query_id, lang AS language, CASE WHEN doc_id % 3 = 0 THEN 'wiki_relaxed' ELSE 'main_rrf' END AS family, 'knowledge' AS scope,
+    CASE WHEN doc_id % 2 = 0 THEN 'hybrid' ELSE 'lexical' END AS mode, source AS source_kind, n_chars::DOUBLE AS score, quality = 1 AS accepted,
+    (n_chars - lead(n_chars) OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id))::DOUBLE AS margin, 1.0::DOUBLE - toxic AS coverage FROM documents JOIN labels USING (doc_id)),
 p AS (SELECT *, CASE WHEN max(score) OVER (PARTITION BY query_id) > 0 THEN score / max(score) OVER (PARTITION BY query_id) ELSE 0 END AS ratio FROM o)
 """
 BUCKETS_SQL = f"""
 WITH {_OBSERVED}
-SELECT language, count(*) AS samples, count(*) FILTER (WHERE accepted) AS accepted_samples, round(min(ratio) FILTER (WHERE accepted), 9) AS min_ratio, round(min(margin) FILTER (WHERE accepted), 9) AS min_margin,
+SELECT family, scope, language, mode, source_kind, count(*) AS samples, count(*) FILTER (WHERE accepted) AS accepted_samples, round(min(ratio) FILTER (WHERE accepted), 9) AS min_ratio, round(min(margin) FILTER (WHERE accepted), 9) AS min_margin,
   round(min(coverage) FILTER (WHERE accepted), 9) AS min_coverage, round(quantile_cont(ratio, 0.5), 9) AS ratio_median, CASE WHEN count(*) >= 10 THEN 'calibrated' ELSE 'insufficient' END AS status
-FROM p GROUP BY language
+FROM p GROUP BY ALL
 """
 
 
 def threshold_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Buckets of every level resolved for each language and one that was never seen."""
-    table_ = quality.buckets(_observations(spark, sf_dir), 20)
-    asked = spark.createDataFrame([("lexical", "knowledge", "main", x, m) for x in ("en", "fr", "it") for m in ("lexical", "hybrid")], "family string, scope string, branch string, language string, mode string")
-    got = quality.resolve(asked, table_)
-    return got.select("language", "mode", "bucket", F.round("min_ratio", 9).alias("min_ratio"), "status")
+    """The bucket of every document's key: of a table of buckets with 20 samples or more, the first on the way from its key to global."""
+    o = _observations(spark, sf_dir)
+    got = quality.resolve(o.select("doc_id", *quality.KEYS), quality.buckets(o, 20))
+    return got.select("doc_id", "bucket", F.round("min_ratio", 9).alias("min_ratio"), "selection", "fail_open")
+
+
+def _backoff_sql() -> str:
+    def key(parts: tuple[str, ...]) -> str:
+        return " || '|' || ".join(p if p in parts else "'*'" for p in quality.KEYS)
+
+    ways = [key(parts) for parts in quality.BACKOFF] + ["'global'"]
+    rows = " UNION ALL ".join(f"SELECT doc_id, {n} AS level, {w} AS key, ratio, accepted FROM p" for n, w in enumerate(ways))
+    return f"""
+WITH {_OBSERVED},
+l AS ({rows}),
+b AS (SELECT key, count(*) AS n, min(ratio) FILTER (WHERE accepted) AS min_ratio FROM l GROUP BY key, level),
+f AS (SELECT doc_id, level, key, min_ratio, row_number() OVER (PARTITION BY doc_id ORDER BY level) AS k FROM l JOIN b USING (key) WHERE n >= 20 AND min_ratio IS NOT NULL),
+g AS (SELECT * FROM f WHERE k = 1)
+SELECT o.doc_id, g.key AS bucket, round(g.min_ratio, 9) AS min_ratio, CASE WHEN g.key IS NULL THEN 'fail_open' WHEN level = 0 THEN 'exact' ELSE 'backoff' END AS selection,
+  CASE WHEN g.key IS NULL THEN 'gate_fail_open_low_sample' END AS fail_open FROM o LEFT JOIN g USING (doc_id)
+"""
+
+
+def gate_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The gate's verdict on every labelled document as a candidate of its source."""
+    o = _observations(spark, sf_dir)
+    rows = o.select("doc_id", F.col("doc_id").cast("string").alias("path"), F.col("doc_id").cast("string").alias("passage_id"), "query_id", "score", "language", "mode", "scope", "source_kind", F.col("family").alias("score_family"), F.col("coverage").alias("coverage_ratio"), F.when(F.col("doc_id") % 5 == 0, 1).alias("fts_rank"))
+    rows = quality.features(rows)
+    return quality.decide(quality.resolve(rows, quality.buckets(o, 20))).select("doc_id", "rank", "n_signals", "reason", "accepted")
+
+
+GATE_SQL = f"""
+WITH r_ AS ({_backoff_sql()}), {_OBSERVED.strip()},
+t AS (
+  SELECT key, min(ratio) FILTER (WHERE accepted) AS min_ratio, min(margin) FILTER (WHERE accepted) AS min_margin, min(coverage) FILTER (WHERE accepted) AS min_coverage
+  FROM (SELECT r_.bucket AS key FROM r_ GROUP BY 1) JOIN (SELECT *, unnest([{", ".join(" || '|' || ".join(p if p in parts else "'*'" for p in quality.KEYS) for parts in quality.BACKOFF)}, 'global']) AS key FROM p) USING (key) GROUP BY key),
+c AS (
+  SELECT o.*, bucket, row_number() OVER w AS rank, score - lead(score) OVER w AS gap, (doc_id % 5 = 0)::INT + (coverage > 0)::INT AS n_signals
+  FROM o JOIN r_ USING (doc_id) WINDOW w AS (PARTITION BY query_id, family ORDER BY score DESC, doc_id::VARCHAR)),
+d AS (SELECT c.*, t.*, max(score) OVER (PARTITION BY query_id, bucket) AS peak FROM c LEFT JOIN t ON t.key = c.bucket),
+e AS (
+  SELECT *, CASE WHEN coverage > 0 THEN 'gate_keep_term_coverage' WHEN n_signals >= 2 THEN 'gate_keep_multi_signal' WHEN rank = 1 THEN 'gate_keep_top1_rescue' ELSE 'gate_keep_default' END AS keep FROM d)
+SELECT doc_id, rank, n_signals, reason, NOT starts_with(reason, 'gate_reject_') AS accepted FROM (
+  SELECT *, CASE WHEN bucket IS NULL THEN 'gate_fail_open_low_sample' WHEN rank = 1 THEN keep WHEN peak > 0 AND score / peak < min_ratio THEN 'gate_reject_score_floor' WHEN gap < min_margin THEN 'gate_reject_score_cliff'
+    WHEN coverage < min_coverage AND n_signals < 2 THEN 'gate_reject_low_confidence' ELSE keep END AS reason FROM e)
+"""
 
 
 def stratified_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -236,8 +291,9 @@ SELECT user_id, event_type, event_id, value FROM (SELECT *, row_number() OVER (P
 
 def telemetry_ttl(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").select("event_id", F.col("ts").alias("at"), F.col("event_type").alias("question"))
-    now = e.agg(F.max("at")).first()[0]
-    return jobs.unexpired(jobs.telemetry(e, 7), F.lit(now)).select("event_id", "query_hash")
+    # one row, so it goes to every task
+    rows = jobs.telemetry(e, 7).join(F.broadcast(e.agg(F.max("at").alias("now"))))
+    return jobs.unexpired(rows, F.col("now")).select("event_id", "query_hash")
 
 
 TTL_SQL = "SELECT event_id, sha256(lower(event_type)) AS query_hash FROM events WHERE ts + INTERVAL 7 DAY > (SELECT max(ts) FROM events)"
@@ -292,29 +348,40 @@ BODIES_SQL = "SELECT conv_id AS path, string_agg(text, chr(10) || chr(10) ORDER
 
 
 def provenance_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations as pages whose sources are documents by id; every third hash is out of date."""
-    c = table(spark, sf_dir, "conversations").where("turn = 0").select(F.concat(F.lit("p"), "conv_id").alias("path"), F.when(F.col("conv_id") % 11 != 0, F.create_map(F.col("conv_id").cast("string"), F.sha2(F.when(F.col("conv_id") % 3 == 0, F.lit("old")).otherwise(F.col("conv_id").cast("string")), 256))).alias("source_hashes"))
+    """Conversations as pages, each turn naming the document of its number and conversation; every third hash is out of date."""
+    key = F.col("conv_id") * 10 + F.col("turn")
+    digest = F.sha2(F.when(key % 3 == 0, F.lit("old")).otherwise(key.cast("string")), 256)
+    turns = table(spark, sf_dir, "conversations").where("conv_id % 11 <> 0").select("conv_id", key.cast("string").alias("k"), digest.alias("v"))
+    maps = turns.groupBy("conv_id").agg(F.map_from_entries(F.collect_set(F.struct("k", "v"))).alias("source_hashes"))
+    pages = table(spark, sf_dir, "conversations").select("conv_id").distinct().join(maps, "conv_id", "left").select(F.concat(F.lit("p"), "conv_id").alias("path"), "source_hashes")
     d = table(spark, sf_dir, "documents").where("doc_id % 5 <> 0").select(F.col("doc_id").cast("string").alias("path"), F.sha2(F.col("doc_id").cast("string"), 256).alias("sha256"))
-    return catalog.provenance(c, d)
+    return catalog.provenance(pages, d)
 
 
 PROVENANCE_SQL = """
-SELECT 'p' || conv_id AS path, CASE WHEN conv_id % 11 = 0 THEN 'legacy' WHEN doc_id IS NULL THEN 'missing' WHEN conv_id % 3 = 0 THEN 'hash_mismatch' ELSE 'exact' END AS status
-FROM conversations LEFT JOIN (SELECT doc_id FROM documents WHERE doc_id % 5 <> 0) ON doc_id = conv_id WHERE turn = 0
+WITH t AS (SELECT conv_id, conv_id * 10 + turn AS k FROM conversations),
+j AS (SELECT conv_id, k, doc_id FROM t LEFT JOIN (SELECT DISTINCT doc_id FROM documents WHERE doc_id % 5 <> 0) ON doc_id = k)
+SELECT 'p' || conv_id AS path, CASE WHEN conv_id % 11 = 0 THEN 'legacy' WHEN bool_or(doc_id IS NOT NULL AND k % 3 = 0) THEN 'hash_mismatch' WHEN bool_or(doc_id IS NULL) THEN 'missing' ELSE 'exact' END AS status
+FROM j GROUP BY conv_id
 """
 
 
 def archive_blockers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("path"), F.when(F.col("o_orderstatus") == "F", "archived").otherwise("active").alias("lifecycle_status"), (F.col("o_totalprice") > 300000).alias("protected"))
-    links = table(spark, sf_dir, "lineitem").where("l_linenumber = 1").select(F.col("l_partkey").cast("string").alias("src"), F.col("l_orderkey").cast("string").alias("target"))
-    return state.archive_plan(o.select("path"), o, links)
+    """Orders as wiki pages and suppliers as raw pages that feed them; all of them asked to go."""
+    life = F.when(F.col("o_orderstatus") == "F", "superseded").when(F.col("o_orderstatus") == "P", "stale").when(F.col("o_orderkey") % 2 == 0, "deprecated").otherwise("active")
+    o = table(spark, sf_dir, "orders").select(F.concat(F.lit("wiki/o"), "o_orderkey").alias("path"), (F.col("o_totalprice") > 100000).alias("generated"), life.alias("lifecycle_status"), F.when(F.col("o_orderkey") % 3 == 0, "wiki/new.md").alias("replaced_by"))
+    s = table(spark, sf_dir, "supplier").select(F.concat(F.lit("raw/s"), "s_suppkey").alias("path"), F.lit(None).cast("boolean").alias("generated"), F.lit(None).cast("string").alias("lifecycle_status"), F.lit(None).cast("string").alias("replaced_by"))
+    edges = table(spark, sf_dir, "lineitem").select(F.concat(F.lit("raw/s"), "l_suppkey").alias("source_path"), F.concat(F.lit("wiki/o"), "l_orderkey").alias("page_path"))
+    pages = o.unionByName(s)
+    return state.archive_plan(pages.select("path"), pages, edges)
 
 
 ARCHIVE_SQL = """
-WITH t AS (SELECT DISTINCT o_orderkey::VARCHAR AS path FROM orders),
-i AS (SELECT DISTINCT l_orderkey::VARCHAR AS path FROM lineitem WHERE l_linenumber = 1 AND l_partkey::VARCHAR <> l_orderkey::VARCHAR AND l_partkey::VARCHAR NOT IN (SELECT path FROM t))
-SELECT o_orderkey::VARCHAR AS path, 'target' AS role, CASE WHEN o_totalprice > 300000 THEN 'protected' WHEN o_orderstatus = 'F' THEN 'already_archived' WHEN i.path IS NOT NULL THEN 'inbound_links' END AS blocker
-FROM orders LEFT JOIN i ON i.path = o_orderkey::VARCHAR
+WITH d AS (SELECT l_suppkey, count(DISTINCT l_orderkey) AS n FROM lineitem GROUP BY 1),
+o AS (SELECT *, CASE WHEN o_orderstatus = 'F' THEN 'superseded' WHEN o_orderstatus = 'P' THEN 'stale' WHEN o_orderkey % 2 = 0 THEN 'deprecated' ELSE 'active' END AS life, o_totalprice > 100000 AS made FROM orders)
+SELECT 'wiki/o' || o_orderkey AS path, 'target' AS role, CASE WHEN NOT made THEN 'manual_page_protected' WHEN life = 'stale' OR life = 'active' THEN 'archive_lifecycle_ineligible'
+  WHEN life = 'superseded' AND o_orderkey % 3 <> 0 THEN 'replaced_by_required' END AS blocker, 0::BIGINT AS dependents FROM o
+UNION ALL SELECT 'raw/s' || s_suppkey, 'target', CASE WHEN n > 0 THEN 'archive_dependency_blocked' END, coalesce(n, 0) FROM supplier LEFT JOIN d ON l_suppkey = s_suppkey
 """
 
 
@@ -323,6 +390,7 @@ def passage_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pack_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The context of each question from its hits, within its intent's budget."""
     queries, corpus = benchmark_queries(spark, sf_dir), document_corpus(spark, sf_dir)
     hits = lexical.search(queries, corpus, "relaxed", 5).join(corpus.passages.select("passage_id", "text"), "passage_id")
     rows = hits.select("query_id", F.col("rank").alias("priority"), "path", F.col("passage_id").cast("string").alias("passage_id"), "ordinal", "text")
@@ -331,39 +399,87 @@ def pack_context(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hit_window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations as pages of turns; their longest turns are the hits."""
-    c = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("path"), F.concat_ws("-", "conv_id", "turn").alias("passage_id"), F.col("turn").cast("int").alias("ordinal"), "text", F.size(F.split("text", " ")).alias("token_count"))
-    hits = lexical.top(c.select(F.lit(1).alias("query_id"), "path", "passage_id", F.col("token_count").alias("score")), 200, [F.col("score").desc(), F.col("passage_id")])
-    pages = hits.groupBy("query_id", "path").agg(F.max("score").alias("score"))
-    return context.fill_pages(pages, c, hits).select("path", "ordinal", "token_count")
-
-
-def _vault(spark: SparkSession) -> DataFrame:
-    rows = [
-        ("wiki/entities/gateway.md", "---\ntitle: Carrier Gateway\naliases: [gateway]\nsources: [raw/a.md]\n---\n# Carrier Gateway\nSee [[rate-engine]] and `[[not-a-link]]`.\n\n- N/record\n- N/auth\n- N/search\n"),
-        ("wiki/entities/rate-engine.md", "---\ntitle: Rate Engine\nsources: [raw/a.md]\n---\nThe carrier gateway feeds the Rate Engine. [[missing-page]]\n"),
-        ("wiki/concepts/budget.md", "---\ntitle: Retry Budget\nquestions: [How many retries?]\n---\n| Module | Use |\n| --- | --- |\n| N/log | logs |\n| N/email | mail |\n\n[[entities/gateway|the gateway]]\n"),
-        ("wiki/concepts/gateway-guide.md", "# Carrier Gateways\nCall 13812345678 or mail a@example.com. 网关 路由 规则。\n"),
-    ]
-    return source_pages.pages(spark.createDataFrame(rows, "path string, text string"))
+    """Conversations as pages of turns; the turns of each page that are longer than its mean are its hits, each page a question's."""
+    c = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("query_id"), F.col("conv_id").cast("string").alias("path"), F.concat_ws("-", "conv_id", "turn").alias("passage_id"), F.col("turn").cast("int").alias("ordinal"), "text", F.length("text").cast("double").alias("score"))
+    mean = F.avg("score").over(Window.partitionBy("path"))
+    hits = c.withColumn("mean", mean).where("score >= mean").select("query_id", "path", "passage_id", "score")
+    pages = hits.select("query_id", "path").distinct().withColumn("rank", F.lit(1))
+    return context.fill_pages(pages, c.select("path", "passage_id", "ordinal", "text"), hits).select("path", "ordinal", "passage_id")
+
+
+#: Markup that the tables lack: headings, lists, tables, links in and outside code, Chinese.
+LITERAL = [
+    ("wiki/entities/gateway.md", "---\ntitle: Carrier Gateway\naliases: [gateway]\nsources: [raw/a.md]\n---\n# Carrier Gateway\nSee [[rate-engine]] and `[[not-a-link]]`.\n\n- N/record\n- N/auth\n- N/search\n"),
+    ("wiki/entities/rate-engine.md", "---\ntitle: Rate Engine\nsources: [raw/a.md]\n---\nThe carrier gateway feeds the Rate Engine. [[missing-page]]\n"),
+    ("wiki/concepts/budget.md", "---\ntitle: Retry Budget\nquestions: [How many retries?]\n---\n| Module | Use |\n| --- | --- |\n| N/log | logs |\n| N/email | mail |\n\n[[entities/gateway|the gateway]]\n"),
+    ("wiki/concepts/gateway-guide.md", "# Carrier Gateways\nCall 13812345678 or mail a@example.com. 网关 路由 规则。\n"),
+]
+
+
+def _vault(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents and pages with markup that SQL can repeat, and the literal pages.
+
+    A document's page links to the documents one and seven behind it and lists its first words; a web page is a source page.
+    """
+    d = table(spark, sf_dir, "documents").where("text is not null")
+    path = F.concat(F.lit("wiki/docs/d"), F.col("doc_id").cast("string"), F.lit(".md"))
+    word = lambda n: F.regexp_replace(F.split_part("text", F.lit(" "), F.lit(n)), "[^A-Za-z0-9]", "")
+    link = lambda n: F.concat(F.lit("[[d"), (F.col("doc_id") + n).cast("string"), F.lit("]]"))
+    plain = F.regexp_replace("text", r"[\[\]`~|#*_<>\n\r\-+]|\d+[.)]", " ")
+    body = F.concat_ws("\n", F.concat(F.lit("# Document "), "doc_id"), F.lit(""), plain, F.lit(""), link(1), F.concat(F.lit("`"), link(2), F.lit("` "), link(7)), F.lit(""), F.concat(F.lit("- m"), word(1)), F.concat(F.lit("- n"), word(2)))
+    own = d.select(path.alias("path"), body.alias("text"))
+    web = table(spark, sf_dir, "pages").select(F.concat(F.lit("raw/sources/p"), "page_id", F.lit(".md")).alias("path"), F.concat(F.lit("# Page "), F.col("page_id").cast("string"), F.lit("\n\nSource of "), F.coalesce("url", F.lit("")), F.lit("\n")).alias("text"))
+    return source_pages.pages(own.unionByName(web).unionByName(spark.createDataFrame(LITERAL, "path string, text string")))
 
 
 def wikilinks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vault = _vault(spark)
+    vault = _vault(spark, sf_dir)
     return graph.resolve(markdown.links(vault), vault).select("src", "kind", "ordinal", "dst", "target")
 
 
+_LITERAL_LINKS = """
+  ('wiki/entities/gateway.md', 'wikilink', 0, 'rate-engine', 'wiki/entities/rate-engine.md'), ('wiki/entities/gateway.md', 'source', 0, 'raw/a.md', NULL), ('wiki/entities/rate-engine.md', 'wikilink', 0, 'missing-page', NULL),
+  ('wiki/entities/rate-engine.md', 'source', 0, 'raw/a.md', NULL), ('wiki/concepts/budget.md', 'wikilink', 0, 'entities/gateway', 'wiki/entities/gateway.md')
+"""
+WIKILINKS_SQL = f"""
+WITH d AS (SELECT DISTINCT doc_id FROM documents WHERE text IS NOT NULL),
+l AS (SELECT doc_id, unnest([0, 1]) AS ordinal, unnest([doc_id + 1, doc_id + 7]) AS other FROM documents WHERE text IS NOT NULL)
+SELECT 'wiki/docs/d' || l.doc_id || '.md' AS src, 'wikilink' AS kind, ordinal::INT AS ordinal, 'd' || other AS dst, CASE WHEN d.doc_id IS NOT NULL THEN 'wiki/docs/d' || other || '.md' END AS target FROM l LEFT JOIN d ON d.doc_id = other
+UNION ALL SELECT * FROM (VALUES {_LITERAL_LINKS}) v(src, kind, ordinal, dst, target)
+"""
+
+
 def mine_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return discovery.mine(_vault(spark))
+    return discovery.mine(_vault(spark, sf_dir)).select("path", "kind", "grp", "label")
+
+
+MINE_SQL = """
+WITH w AS (SELECT doc_id, regexp_replace(split_part(text, ' ', 1), '[^A-Za-z0-9]', '', 'g') AS a, regexp_replace(split_part(text, ' ', 2), '[^A-Za-z0-9]', '', 'g') AS b FROM documents WHERE text IS NOT NULL),
+m AS (SELECT doc_id, unnest(['m' || a, 'n' || b]) AS label FROM w)
+SELECT 'wiki/docs/d' || doc_id || '.md' AS path, 'list' AS kind, 'Document ' || doc_id AS grp, label FROM m
+UNION ALL SELECT * FROM (VALUES ('wiki/entities/gateway.md', 'list', 'Carrier Gateway', 'N/record'), ('wiki/entities/gateway.md', 'list', 'Carrier Gateway', 'N/auth'), ('wiki/entities/gateway.md', 'list', 'Carrier Gateway', 'N/search'),
+  ('wiki/concepts/budget.md', 'table', '#1', 'N/log'), ('wiki/concepts/budget.md', 'table', '#1', 'N/email')) v
+"""
+
+
+def _titled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages titled by the first two words of each document that has them, and the literal pages."""
+    d = table(spark, sf_dir, "documents")
+    title = F.regexp_extract("text", "^([A-Za-z]+ [A-Za-z]+) ", 1)
+    own = d.where(title != "").select(F.concat(F.lit("wiki/docs/d"), "doc_id", F.lit(".md")).alias("path"), title.alias("title"), F.array().cast("array<string>").alias("aliases"), F.col("text").alias("body"), F.lit("note").alias("page_type"), F.lit("active").alias("lifecycle_status"))
+    return own.unionByName(source_pages.pages(spark.createDataFrame(LITERAL, "path string, text string")).select(*own.columns))
 
 
 def link_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vault = _vault(spark)
-    return catalog.link_suggestions(vault, vault)
+    """Mentions in all documents of the pages that are titled by the first two words of a document, and by the literal pages."""
+    vault = _titled(spark, sf_dir)
+    bodies = vault.select("path", "body")
+    return catalog.link_suggestions(bodies, vault).select("page_path", "target", "mention", "line", "offset")
 
 
 def duplicate_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vault = _vault(spark)
+    """For each page, the five pages whose titles are most like its own."""
+    vault = _titled(spark, sf_dir)
     return catalog.duplicate_titles(vault.select(F.col("path").alias("page_path"), "title", "aliases"), vault)
 
 
@@ -375,6 +491,115 @@ def hashed_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.Hashing(16).embed(table(spark, sf_dir, "benchmark"), "text").select("item_id", F.transform("vector", lambda x: F.round(x, 6)).alias("vector"))
 
 
+def page_link_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as pages with their lines as links to parts; customers without orders have none."""
+    c = table(spark, sf_dir, "customer").select(F.concat(F.lit("c"), "c_custkey").alias("path"))
+    o = table(spark, sf_dir, "orders").select(F.concat(F.lit("c"), "o_custkey").alias("src"), F.lit("wikilink").alias("kind"), F.col("o_orderkey").cast("int").alias("ordinal"), F.concat(F.lit("o"), "o_orderkey").alias("target"))
+    return graph.page_links(c, o).select("path", F.array_join(F.transform("links", lambda x: x["target"]), ",").alias("targets"))
+
+
+LINK_LISTS_SQL = "SELECT 'c' || c_custkey AS path, coalesce(string_agg('o' || o_orderkey, ',' ORDER BY o_orderkey::INT), '') AS targets FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey"
+
+
+def page_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines as hits of their order's pages: the best score of each page and whether it is strong."""
+    hits = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("query_id"), F.col("l_partkey").alias("path"), (F.col("l_extendedprice") - 20000.0).alias("score"))
+    return context.page_stats(hits).withColumn("peak", F.round("peak", 6))
+
+
+PEAKS_SQL = """
+WITH p AS (SELECT l_returnflag AS query_id, l_partkey AS path, greatest(max(l_extendedprice - 20000.0::DOUBLE), 0) AS peak FROM lineitem GROUP BY ALL)
+SELECT query_id, path, round(peak, 6) AS peak, max(peak) OVER (PARTITION BY query_id) <= 0 OR peak >= 0.6::DOUBLE * max(peak) OVER (PARTITION BY query_id) AS strong FROM p
+"""
+
+
+def eligible_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which scopes each page of a made-up vault may answer: orders over stores, states and kinds."""
+    n = F.col("o_orderkey")
+    place = F.get(F.array(*map(F.lit, ("wiki/concepts/", "wiki/sources/", "raw/sources/", "raw/sources/chat/", "archives/", "wiki/x/sources/"))), (n % 6).cast("int"))
+    name = F.when(n % 7 == 0, "index.md").otherwise(F.concat(n.cast("string"), F.lit(".md")))
+    store = F.when(n % 6 == 4, "archive").when((n % 6).isin(2, 3), "raw").otherwise("active")
+    life = F.when(F.col("o_orderstatus") == "F", "deprecated").when(F.col("o_orderstatus") == "P", "stale")
+    kind = F.when(n % 11 == 0, "source_summary").otherwise("note")
+    p = table(spark, sf_dir, "orders").select(n.alias("id"), F.concat(place, name).alias("path"), store.alias("store"), life.alias("lifecycle_status"), kind.alias("page_type"), F.when(n % 5 == 0, "history").otherwise("knowledge").alias("corpus"), F.when(n % 6 == 3, "raw_chat").otherwise("wiki").alias("source_kind"))
+    return p.select("id", *[filters.eligible(s).alias(s) for s in ("knowledge", "history", "all", "raw", "archive")])
+
+
+ELIGIBLE_SQL = """
+WITH p AS (
+  SELECT o_orderkey AS n, n % 6 AS place, n % 6 = 4 AS away, n % 6 IN (2, 3) AS raw, o_orderstatus = 'F' AS gone, n % 5 = 0 OR n % 6 = 3 AS said,
+    n % 11 = 0 OR (n % 7 = 0 AND place IN (5, 1)) OR (n % 7 = 0 AND place IN (2, 3)) AS listing FROM orders),
+q AS (SELECT *, NOT listing AND place <> 1 AND NOT gone AS ok FROM p)
+SELECT n AS id, ok AND NOT away AND NOT raw AND NOT said AS knowledge, ok AND NOT away AND NOT raw AND said AS history, ok AND NOT away AS "all", ok AND place = 2 AS raw, NOT listing AND away AS archive FROM q
+"""
+
+
+def fallback_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The next step of the ladder for every state that an order stands for."""
+    n = F.col("o_orderkey")
+    bit = lambda k: (F.floor(n / 2**k) % 2) == 1
+    scope = F.get(F.array(*map(F.lit, ("knowledge", "all", "history"))), (n % 3).cast("int"))
+    raw = F.get(F.array(*map(F.lit, ("yes", "no", "unknown"))), (n % 7 % 3).cast("int"))
+    p = recovery.plan_fallback(bit(0), bit(1), scope, bit(2), raw, bit(3), bit(4))
+    return table(spark, sf_dir, "orders").select("o_orderkey", p.alias("p")).select("o_orderkey", "p.branch", "p.level", "p.reason", "p.mode")
+
+
+FALLBACK_SQL = """
+WITH s AS (
+  SELECT o_orderkey, o_orderkey % 2 = 1 AS primary_, (o_orderkey // 2) % 2 = 1 AS lacks, ['knowledge', 'all', 'history'][o_orderkey % 3 + 1] AS scope, (o_orderkey // 4) % 2 = 1 AS strong,
+    ['yes', 'no', 'unknown'][o_orderkey % 7 % 3 + 1] AS raw, (o_orderkey // 8) % 2 = 1 AS answered, (o_orderkey // 16) % 2 = 1 AS relaxed FROM orders),
+b AS (
+  SELECT *, CASE WHEN primary_ AND lacks AND scope <> 'history' THEN 'coverage' WHEN NOT primary_ AND scope = 'all' AND answered AND lacks AND raw <> 'no' THEN 'all_coverage'
+    WHEN NOT primary_ AND scope <> 'history' AND relaxed THEN 'wiki_relaxed' WHEN NOT strong AND scope <> 'history' AND raw <> 'no' THEN 'raw_zero' END AS branch FROM s)
+SELECT o_orderkey, branch, CASE WHEN branch = 'wiki_relaxed' THEN 'none' WHEN branch IS NOT NULL THEN 'raw' END AS level,
+  CASE WHEN branch IN ('coverage', 'all_coverage') THEN 'wiki_primary_missing_latin_coverage' WHEN branch = 'raw_zero' THEN CASE WHEN primary_ THEN 'wiki_weak_primary' ELSE 'wiki_zero_results' END END AS reason,
+  CASE branch WHEN 'wiki_relaxed' THEN 'relaxed' WHEN 'raw_zero' THEN 'raw' END AS mode FROM b
+"""
+
+
+def page_policies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Policies of orders as pages."""
+    n = F.col("o_orderkey")
+    fresh = F.get(F.array(*map(F.lit, ("fresh", "stale", "review_required", "odd", ""))), (n % 5).cast("int"))
+    life = F.get(F.array(*map(F.lit, ("active", "superseded", "unheard", "deprecated", ""))), (n % 7 % 5).cast("int"))
+    sources = F.when(n % 3 == 0, F.create_map().cast("map<string,string>")).when(n % 3 == 1, F.create_map(F.lit("a"), F.lit("h")))
+    p = catalog.policy(F.col("o_orderstatus") == "F", fresh, life, F.when(n % 11 == 0, "custom"), sources)
+    return table(spark, sf_dir, "orders").select("o_orderkey", p.alias("p")).select("o_orderkey", "p.freshness", "p.lifecycle", "p.maintenance")
+
+
+POLICY_SQL = """
+SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN 'fresh' WHEN 1 THEN 'stale' WHEN 4 THEN CASE WHEN o_orderkey % 3 = 0 THEN 'review_required' ELSE 'fresh' END ELSE 'review_required' END AS freshness,
+  ['active', 'superseded', 'review_required', 'deprecated', 'active'][o_orderkey % 7 % 5 + 1] AS lifecycle, CASE WHEN o_orderkey % 11 = 0 THEN 'custom' WHEN o_orderstatus = 'F' THEN 'auto' ELSE 'manual' END AS maintenance FROM orders
+"""
+
+
+def archive_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Moves between all states, one for each order; those that are refused."""
+    names = T.strings(list(state.TRANSITIONS))
+    m = table(spark, sf_dir, "orders").select("o_orderkey", F.get(names, (F.col("o_orderkey") % 8).cast("int")).alias("old_state"), F.get(names, (F.col("o_custkey") % 8).cast("int")).alias("new_state"))
+    return state.invalid_transitions(m)
+
+
+MOVES_SQL = """
+WITH s AS (SELECT ['planned', 'staged', 'pending', 'detaching', 'failed_recoverable', 'rolling_back', 'committed', 'rolled_back'] AS names),
+m AS (SELECT o_orderkey, names[o_orderkey % 8 + 1] AS old_state, names[o_custkey % 8 + 1] AS new_state FROM orders, s)
+SELECT * FROM m WHERE (old_state, new_state) NOT IN (SELECT unnest([('planned', 'staged'), ('planned', 'rolling_back'), ('planned', 'failed_recoverable'), ('staged', 'pending'), ('staged', 'rolling_back'), ('staged', 'failed_recoverable'),
+  ('pending', 'detaching'), ('pending', 'rolling_back'), ('pending', 'failed_recoverable'), ('detaching', 'committed'), ('detaching', 'rolling_back'), ('detaching', 'failed_recoverable'), ('failed_recoverable', 'rolling_back'), ('failed_recoverable', 'detaching'), ('rolling_back', 'rolled_back')]))
+"""
+
+
+def chat_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as transcripts: whether they are valid, and how many messages they have."""
+    line = F.concat(F.lit("## "), "role", F.when(F.col("conv_id") % 7 == 0, ":").otherwise(""), F.lit("\n"), F.regexp_replace("text", "#", ""), F.when(F.col("conv_id") % 5 == 0, "\n# Tool").otherwise(""))
+    c = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", line.alias("line")))), lambda x: x["line"]), "\n").alias("body"), F.count_if(F.col("role").isin("user", "assistant")).alias("n"))
+    return c.select("conv_id", jobs.valid_chat("body").alias("valid"), jobs.message_count("body").cast("long").alias("messages"))
+
+
+CHAT_SQL = """
+SELECT conv_id, bool_and(role IN ('user', 'assistant')) AND conv_id % 5 <> 0 AS valid, count(*) FILTER (WHERE role IN ('user', 'assistant')) AS messages FROM conversations GROUP BY conv_id
+"""
+
+
 def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as a stream, the first of each user and type kept."""
     e = table(spark, sf_dir, "events")
@@ -399,7 +624,7 @@ QUERIES = {
     for f in (
         keyset_page, catalog_filter, full_outer_diff, neighbor_window, bigram_jaccard_titles, common_neighbors, shared_source, graph_evidence, graph_two_hop, stale_dependents, redact_counts,
         calibration_buckets, threshold_backoff, stratified_sample, revision_chain, latest_event, telemetry_ttl, log_rotation, overview_counts, conditional_counts, freshness_bonus, page_bodies,
-        provenance_audit, archive_blockers, passage_chunks, pack_context, hit_window, wikilinks, mine_entities, link_suggestions, duplicate_titles, fingerprint, hashed_vectors, stream_dedup, event_windows,
+        provenance_audit, archive_blockers, page_link_lists, page_peaks, eligible_pages, fallback_steps, page_policies, archive_moves, chat_roles, gate_decisions, passage_chunks, pack_context, hit_window, wikilinks, mine_entities, link_suggestions, duplicate_titles, fingerprint, hashed_vectors, stream_dedup, event_windows,
     )
 }
 ORACLE_SQL = {
@@ -408,5 +633,6 @@ ORACLE_SQL = {
     "graph_evidence": GRAPH_SQL, "graph_two_hop": TWO_HOP_SQL, "stale_dependents": STALE_SQL, "redact_counts": _redact_sql(), "calibration_buckets": BUCKETS_SQL, "stratified_sample": SAMPLE_SQL,
     "revision_chain": REVISION_SQL, "latest_event": LATEST_SQL, "telemetry_ttl": TTL_SQL, "log_rotation": ROTATE_SQL,
     "overview_counts": "SELECT count(*) AS pages, count(DISTINCT source) AS projects, count(*) FILTER (WHERE lang = 'en') AS generated, count(*) FILTER (WHERE lang <> 'en') AS manual FROM documents",
-    "conditional_counts": MIRROR_SQL, "freshness_bonus": FRESH_SQL, "page_bodies": BODIES_SQL, "provenance_audit": PROVENANCE_SQL, "archive_blockers": ARCHIVE_SQL, "stream_dedup": DEDUP_SQL, "event_windows": WINDOWS_SQL,
+    "conditional_counts": MIRROR_SQL, "freshness_bonus": FRESH_SQL, "page_bodies": BODIES_SQL, "provenance_audit": PROVENANCE_SQL, "threshold_backoff": _backoff_sql(), "gate_decisions": GATE_SQL, "wikilinks": WIKILINKS_SQL, "mine_entities": MINE_SQL, "page_link_lists": LINK_LISTS_SQL, "page_peaks": PEAKS_SQL, "eligible_pages": ELIGIBLE_SQL,
+    "fallback_steps": FALLBACK_SQL, "page_policies": POLICY_SQL, "archive_moves": MOVES_SQL, "chat_roles": CHAT_SQL, "archive_blockers": ARCHIVE_SQL, "stream_dedup": DEDUP_SQL, "event_windows": WINDOWS_SQL,
 }

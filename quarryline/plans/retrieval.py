@@ -198,7 +198,7 @@ def intent_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 INTENT_SQL = """
 SELECT CASE """ + " ".join(f"WHEN regexp_matches(text, '{p}') THEN '{n}'" for n, p in T.INTENTS) + r"""
-  WHEN len(string_split_regex(trim(text), '\s+')) <= 3 THEN 'entity' ELSE 'concept' END AS intent,
+  WHEN regexp_matches(text, '(^|[^\p{L}\p{N}_])[A-Za-z][\p{L}\p{N}_.:-]+[\p{L}\p{N}_]') THEN 'exact_entity' ELSE 'concept' END AS intent,
   CASE WHEN regexp_matches(text, '[\x{4e00}-\x{9fff}]') AND regexp_matches(text, '[A-Za-z]') THEN 'mixed' WHEN regexp_matches(text, '[\x{4e00}-\x{9fff}]') THEN 'cjk' WHEN regexp_matches(text, '[A-Za-z]') THEN 'latin' ELSE 'unknown' END AS bucket,
   count(*) AS n FROM documents GROUP BY ALL
 """
