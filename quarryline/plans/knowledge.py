@@ -483,6 +483,29 @@ def duplicate_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.duplicate_titles(vault.select(F.col("path").alias("page_path"), "title", "aliases"), vault)
 
 
+DUPLICATES_SQL = r"""
+WITH lit AS (SELECT * FROM (VALUES ('wiki/entities/gateway.md', 'Carrier Gateway', ['gateway']), ('wiki/entities/rate-engine.md', 'Rate Engine', []), ('wiki/concepts/budget.md', 'Retry Budget', []), ('wiki/concepts/gateway-guide.md', 'Carrier Gateways', [])) v(path, title, aliases)),
+p AS (SELECT 'wiki/docs/d' || doc_id || '.md' AS path, regexp_extract(text, '^([A-Za-z]+ [A-Za-z]+) ', 1) AS title, []::VARCHAR[] AS aliases, 'note' AS kind FROM documents WHERE regexp_matches(text, '^[A-Za-z]+ [A-Za-z]+ ')
+  UNION ALL SELECT path, title, aliases::VARCHAR[], 'wiki' FROM lit),
+n AS (SELECT path, unnest(list_distinct(list_concat([title], aliases))) AS name FROM p),
+s AS (SELECT path, unnest(list_distinct(list_concat([title, trim(regexp_replace(regexp_extract(path, '([^/]*)[.]md$', 1), '[-_]+', ' ', 'g'))], aliases))) AS name FROM p),
+nk AS (SELECT path, name, regexp_replace(lower(name), '[^a-z0-9]+', '', 'g') AS key FROM n), sk AS (SELECT path, name, regexp_replace(lower(name), '[^a-z0-9]+', '', 'g') AS key FROM s),
+ng AS (SELECT *, list_distinct([substr(key, i, 2) for i in range(1, length(key))]) AS g, list_distinct(string_split(lower(name), ' ')) AS w FROM nk WHERE key <> ''),
+sg AS (SELECT *, list_distinct([substr(key, i, 2) for i in range(1, length(key))]) AS g, list_distinct(string_split(lower(name), ' ')) AS w FROM sk WHERE key <> ''),
+m AS (
+  SELECT a.path AS page_path, b.path, a.key = b.key AS same, len(list_intersect(a.g, b.g))::DOUBLE / len(list_distinct(list_concat(a.g, b.g))) AS j,
+    CASE WHEN least(length(a.key), length(b.key)) >= 4 AND (contains(a.key, b.key) OR contains(b.key, a.key)) THEN least(length(a.key), length(b.key))::DOUBLE / greatest(length(a.key), length(b.key)) ELSE 0 END AS c,
+    len(a.w) <> len(b.w) AND (list_has_all(a.w, b.w) OR list_has_all(b.w, a.w)) AS subset
+  FROM ng a JOIN sg b ON a.path <> b.path AND len(list_intersect(a.g, b.g)) > 0),
+g AS (SELECT page_path, path, bool_or(same) AS same, max((j, subset)) AS best, max(c) AS c FROM m GROUP BY ALL),
+r AS (
+  SELECT page_path, path, CASE WHEN same THEN 'same_title_or_alias' WHEN best[1] >= 0.6 THEN 'similar_title' WHEN c >= 0.6 THEN 'title_contains' END AS reason, CASE WHEN same THEN 1.0::DOUBLE WHEN best[1] >= 0.6 THEN round(best[1], 3) ELSE round(c, 3) END AS score,
+    best[2] AS subset FROM g),
+o AS (SELECT page_path, path, reason, score, CASE WHEN reason = 'title_contains' OR (reason = 'similar_title' AND subset) THEN 'related' ELSE 'high' END AS confidence FROM r WHERE reason IS NOT NULL)
+SELECT page_path, path, reason, score, confidence FROM (SELECT *, row_number() OVER (PARTITION BY page_path ORDER BY (confidence <> 'high')::INT, score DESC, path) AS k FROM o) WHERE k <= 5
+"""
+
+
 def fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.fingerprint(document_pages(spark, sf_dir), "path", "redacted_hash")
 
@@ -633,6 +656,6 @@ ORACLE_SQL = {
     "graph_evidence": GRAPH_SQL, "graph_two_hop": TWO_HOP_SQL, "stale_dependents": STALE_SQL, "redact_counts": _redact_sql(), "calibration_buckets": BUCKETS_SQL, "stratified_sample": SAMPLE_SQL,
     "revision_chain": REVISION_SQL, "latest_event": LATEST_SQL, "telemetry_ttl": TTL_SQL, "log_rotation": ROTATE_SQL,
     "overview_counts": "SELECT count(*) AS pages, count(DISTINCT source) AS projects, count(*) FILTER (WHERE lang = 'en') AS generated, count(*) FILTER (WHERE lang <> 'en') AS manual FROM documents",
-    "conditional_counts": MIRROR_SQL, "freshness_bonus": FRESH_SQL, "page_bodies": BODIES_SQL, "provenance_audit": PROVENANCE_SQL, "threshold_backoff": _backoff_sql(), "gate_decisions": GATE_SQL, "wikilinks": WIKILINKS_SQL, "mine_entities": MINE_SQL, "page_link_lists": LINK_LISTS_SQL, "page_peaks": PEAKS_SQL, "eligible_pages": ELIGIBLE_SQL,
+    "conditional_counts": MIRROR_SQL, "freshness_bonus": FRESH_SQL, "page_bodies": BODIES_SQL, "provenance_audit": PROVENANCE_SQL, "threshold_backoff": _backoff_sql(), "gate_decisions": GATE_SQL, "wikilinks": WIKILINKS_SQL, "mine_entities": MINE_SQL, "duplicate_titles": DUPLICATES_SQL, "page_link_lists": LINK_LISTS_SQL, "page_peaks": PEAKS_SQL, "eligible_pages": ELIGIBLE_SQL,
     "fallback_steps": FALLBACK_SQL, "page_policies": POLICY_SQL, "archive_moves": MOVES_SQL, "chat_roles": CHAT_SQL, "archive_blockers": ARCHIVE_SQL, "stream_dedup": DEDUP_SQL, "event_windows": WINDOWS_SQL,
 }

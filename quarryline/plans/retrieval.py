@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.identifiers import query_plan
 from ..operators import evaluation, evidence, fusion, lexical, recovery
 from .tables import benchmark_queries, document_corpus, document_pages, table
 
@@ -63,6 +64,53 @@ def _search(mode: str, where=None, limit: int = 10):
     return run
 
 
+def _identifier_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Questions about an identifier made of the first two long words of each benchmark item."""
+    words = F.filter(T.tokens("text"), lambda w: (F.length(w) >= 3) & F.rlike(w, F.lit("^[a-z]+$")))
+    rows = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), words.alias("w")).where(F.size("w") >= 2)
+    return rows.select("query_id", F.concat(F.col("w")[0], F.lit("/"), F.col("w")[1]).alias("question"))
+
+
+def qualified_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = lexical.search(_identifier_questions(spark, sf_dir), document_corpus(spark, sf_dir), "qualified", 10)
+    return hits.select("query_id", "passage_id", "path", "score", "rank")
+
+
+_QUALIFIED = f"""
+{_PAGES},
+id_ AS (SELECT item_id AS query_id, [x for x in {_tok("text")} if length(x) >= 3 and regexp_full_match(x, '[a-z]+')] AS w FROM benchmark),
+want_ AS (SELECT query_id, w[1] AS a, w[2] AS b FROM id_ WHERE len(w) >= 2),
+grp_ AS (SELECT query_id, unnest(['a', 'b', 'p', 'c']) AS grp, unnest([a, b, a || ' ' || b, a || b]) AS term FROM want_),
+one_ AS (SELECT grp_.query_id, grp, passage_id, sum(w) AS f FROM grp_ JOIN tok_ USING (term) WHERE grp <> 'p' GROUP BY ALL),
+pair_ AS (
+  SELECT passage_id, 4.0 AS w, title[i] || ' ' || title[i + 1] AS term FROM (SELECT passage_id, title, unnest(range(1, len(title))) AS i FROM pages_)
+  UNION ALL SELECT passage_id, 1.0, body[i] || ' ' || body[i + 1] FROM (SELECT passage_id, body, unnest(range(1, len(body))) AS i FROM pages_)),
+f_ AS (SELECT * FROM one_ UNION ALL SELECT grp_.query_id, grp, passage_id, sum(w) FROM grp_ JOIN pair_ USING (term) WHERE grp = 'p' GROUP BY ALL),
+idf_ AS (SELECT query_id, grp, CASE WHEN ln((n - k + 0.5) / (k + 0.5)) > 0 THEN ln((n - k + 0.5) / (k + 0.5)) ELSE 1e-6 END AS idf FROM (SELECT query_id, grp, count(*) AS k FROM f_ GROUP BY ALL), avg_),
+s_ AS (
+  SELECT query_id, passage_id, sum(idf * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * d / a))) AS score, count(*) FILTER (WHERE grp IN ('a', 'b')) AS parts, count(*) FILTER (WHERE grp = 'c') AS whole
+  FROM f_ JOIN idf_ USING (query_id, grp) JOIN len_ USING (passage_id), avg_ GROUP BY ALL)
+"""
+QUALIFIED_SQL = f"""
+WITH {_QUALIFIED}
+SELECT query_id, passage_id, path, score, rank FROM (
+  SELECT query_id, passage_id, path, round(score, 9) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, path) AS rank FROM s_ JOIN pages_ USING (passage_id) WHERE parts = 2 OR whole > 0) WHERE rank <= 10
+"""
+
+
+def query_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Plans of the benchmark's questions: Latin terms, and identifiers, of which their words have none but with a blank behind one letter."""
+    plan = query_plan("question")
+    rows = _identifier_questions(spark, sf_dir).select("query_id", plan.alias("p"))
+    return rows.select("query_id", F.array_join("p.latin_terms", " ").alias("latin"), F.array_join("p.qualified_identifiers.canonical", " ").alias("identifiers"), "p.discovery_intent")
+
+
+PLANS_SQL = f"""
+WITH w AS (SELECT item_id AS query_id, [x for x in {_tok("text")} if length(x) >= 3 and regexp_full_match(x, '[a-z]+')] AS w FROM benchmark)
+SELECT query_id, w[1] || ' ' || w[2] AS latin, w[1] || '/' || w[2] AS identifiers, false AS discovery_intent FROM w WHERE len(w) >= 2
+"""
+
+
 def title_overlap_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.title_candidates(benchmark_queries(spark, sf_dir), document_pages(spark, sf_dir))
 
@@ -212,6 +260,31 @@ def evidence_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return full.select("query_id", "passage_id", F.round(evidence.judge("question", "text", "title", "path"), 9).alias("evidence"))
 
 
+_JSTOP = ", ".join(f"'{w}'" for w in T.JUDGE_STOPWORDS)
+
+
+def _jtok(c: str) -> str:
+    return f"list_distinct([x for x in regexp_extract_all(replace(lower({c}), 'ß', 'ss'), '[a-z0-9_]+|[\\x{{4e00}}-\\x{{9fff}}]+') if length(x) > 1 and x not in ({_JSTOP})])"
+
+
+#: Evidence of rows with question, text, title, path. Identifiers are words with a capital inside, an underscore or a digit behind letters.
+_EVIDENCE = f"""
+q_ AS (SELECT *, {_jtok("question")} AS q, {_jtok("text")} AS t, list_distinct(list_concat({_jtok("title")}, {_jtok("replace(replace(replace(path, '/', ' '), '-', ' '), '_', ' ')")}, {_jtok("regexp_extract(path, '([^/]*)[.]md$', 1)")})) AS names,
+  regexp_extract_all(question, '\\b[A-Za-z][a-z0-9]*(?:[A-Z][a-z0-9]+)+\\b|\\b[A-Za-z][A-Za-z0-9]*(?:_[A-Za-z0-9]+)+\\b|\\b[A-Za-z]+[0-9][A-Za-z0-9_]*\\b') AS ids, lower(title || chr(10) || path || chr(10) || text) AS hay FROM rows_),
+j_ AS (
+  SELECT *, CASE WHEN len(q) = 0 AND len(ids) = 0 THEN 0 ELSE greatest(0, least(1, (CASE WHEN len(q) > 0 THEN len(list_intersect(q, t))::DOUBLE / len(q) ELSE 0 END)
+    + CASE WHEN len(q) >= 2 AND len([x for x in q if contains(lower(text), x)]) >= 2 THEN 0.15::DOUBLE ELSE 0 END + (CASE WHEN len(q) > 0 THEN 0.25::DOUBLE * len(list_intersect(q, names)) / len(q) ELSE 0 END)
+    + CASE WHEN len([x for x in ids if length(x) > 1 and contains(hay, lower(x))]) > 0 THEN 0.15::DOUBLE ELSE 0 END)) END AS evidence FROM q_)
+"""
+_TEXTS = "SELECT doc_id AS passage_id, coalesce(text, '') AS text, split_part(coalesce(text, ''), '.', 1) AS title FROM documents"
+EVIDENCE_SQL = f"""
+WITH h_ AS ({_bm25_sql('true', limit=20)}),
+rows_ AS (SELECT h_.query_id, h_.passage_id, h_.path, d.text, d.title, b.text AS question FROM h_ JOIN ({_TEXTS}) d USING (passage_id) JOIN benchmark b ON b.item_id = h_.query_id),
+{_EVIDENCE}
+SELECT query_id, passage_id, round(evidence, 9) AS evidence FROM j_
+"""
+
+
 def hop_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
     queries, corpus = benchmark_queries(spark, sf_dir), document_corpus(spark, sf_dir)
     find = lambda q: lexical.search(q, corpus, "strict", evidence.PER_TERM)
@@ -236,6 +309,38 @@ def raw_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recovery.raw_merge(wiki.select(cols), raw.select(cols), kinds).select("query_id", "passage_id", "from_raw", "source_rank", "fusion_score")
 
 
+_LATIN = f"[x for x in regexp_extract_all(replace(lower({{c}}), 'ß', 'ss'), '[a-z0-9_]+') if x not in ({_STOP})]"
+COVERAGE_SQL = f"""
+WITH w_ AS ({_bm25_sql('g = wanted', limit=10)}), r_ AS ({_bm25_sql('true', limit=20)}),
+d_ AS (SELECT doc_id AS passage_id, list_distinct({_LATIN.format(c="split_part(coalesce(text, ''), '.', 1) || chr(10) || coalesce(text, '')")}) AS words FROM documents),
+q_ AS (SELECT item_id AS query_id, [x for x in list_distinct({_LATIN.format(c="text")}) if length(x) >= 3] AS asked FROM benchmark),
+seen_ AS (SELECT query_id, flatten(list(words)) AS words FROM w_ JOIN d_ USING (passage_id) GROUP BY query_id),
+u_ AS (SELECT query_id, [x for x in asked if not list_contains(coalesce(words, []), x)] AS terms FROM q_ LEFT JOIN seen_ USING (query_id)),
+b_ AS (SELECT query_id, passage_id, path, score, false AS from_raw FROM w_ UNION ALL SELECT query_id, passage_id, path, score, true FROM r_),
+c_ AS (SELECT b_.*, CASE WHEN len(terms) > 0 THEN len(list_intersect(terms, flat))::DOUBLE / len(terms) ELSE 0 END AS ratio
+  FROM b_ JOIN u_ USING (query_id) JOIN (SELECT query_id, path, flatten(list(words)) AS flat FROM b_ JOIN d_ USING (passage_id) GROUP BY ALL) p USING (query_id, path)),
+k_ AS (SELECT *, row_number() OVER (PARTITION BY query_id, from_raw ORDER BY score DESC, path, passage_id)::INT AS source_rank FROM c_ WHERE NOT from_raw OR ratio > 0),
+f_ AS (SELECT *, round(ratio + 61.0::DOUBLE / (60 + source_rank) + CASE WHEN from_raw THEN 0.35::DOUBLE * ratio ELSE least(score / 100.0::DOUBLE, 0.35::DOUBLE) END, 12) AS fusion_score FROM k_)
+SELECT query_id, passage_id, from_raw, source_rank, fusion_score FROM (SELECT *, row_number() OVER (PARTITION BY query_id, passage_id ORDER BY fusion_score DESC) AS k FROM f_) WHERE k = 1
+"""
+RAW_SQL = f"""
+WITH w_ AS ({_bm25_sql('g = wanted', limit=10)}), r_ AS ({_bm25_sql('true', limit=30)}),
+rows_ AS (SELECT w_.query_id, w_.passage_id, w_.path, d.text, d.title, b.text AS question FROM w_ JOIN ({_TEXTS}) d USING (passage_id) JOIN benchmark b ON b.item_id = w_.query_id),
+{_EVIDENCE},
+kind_ AS (SELECT item_id AS query_id, CASE WHEN e IS NULL THEN 'empty' WHEN e < 0.15 THEN 'weak' ELSE 'strong' END AS kind FROM benchmark LEFT JOIN (SELECT query_id, max(evidence) AS e FROM j_ GROUP BY query_id) ON query_id = item_id),
+b_ AS (SELECT query_id, passage_id, path, score, false AS from_raw FROM w_ UNION ALL SELECT query_id, passage_id, path, score, true FROM r_ JOIN kind_ USING (query_id) WHERE kind <> 'strong'),
+k_ AS (SELECT *, row_number() OVER (PARTITION BY query_id, from_raw ORDER BY score DESC, path, passage_id)::INT AS source_rank FROM b_)
+SELECT query_id, passage_id, from_raw, source_rank, round(61.0::DOUBLE / (60 + source_rank), 12) AS fusion_score FROM k_ WHERE NOT from_raw OR source_rank <= 20
+"""
+
+
+def strong_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether each hit of the relaxed search is more than words in common, with and without its body."""
+    queries, corpus = benchmark_queries(spark, sf_dir), document_corpus(spark, sf_dir)
+    hits = lexical.search(queries, corpus, "relaxed", 20).select("query_id", "passage_id").join(corpus.passages.select("passage_id", "text", "title", "path"), "passage_id").join(queries, "query_id")
+    return hits.select("query_id", "passage_id", recovery.is_strong("question", "title", "path", "text").alias("relaxed"), recovery.is_strong("question", "title", "path", "text", body_evidence=False).alias("primary_"))
+
+
 def _judged(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     d = table(spark, sf_dir, "documents")
     ranked = lexical.top(d.select(F.col("source").alias("query_id"), F.col("doc_id").alias("path"), "n_chars"), 40, [F.col("n_chars").desc(), F.col("path")])
@@ -299,6 +404,8 @@ QUERIES = {
     "bm25_relaxed_topk": _search("relaxed"),
     "bm25_prefix_topk": _search("prefix"),
     "bm25_filtered_topk": _search("relaxed", lambda: (F.col("page_type") == "en") & F.array_contains("tags", "src1")),
+    "qualified_topk": qualified_topk,
+    "query_plans": query_plans,
     "title_overlap_candidates": title_overlap_candidates,
     "vector_topk": vector_topk,
     "rrf_fusion": rrf_fusion,
@@ -314,6 +421,7 @@ QUERIES = {
     "hop_expansion": hop_expansion,
     "coverage_merge": coverage_merge,
     "raw_merge": raw_merge,
+    "strong_hits": strong_hits,
     "ranking_metrics": ranking_metrics,
     "metrics_by_k": metrics_by_k,
     "slice_metrics": slice_metrics,
@@ -325,6 +433,11 @@ ORACLE_SQL = {
     "bm25_relaxed_topk": _bm25_sql("true"),
     "bm25_prefix_topk": _bm25_sql("g = wanted", "(length(want) >= 3 AND starts_with(term, want)) OR term = want"),
     "bm25_filtered_topk": _bm25_sql("true", where="lang = 'en' AND source = 'src1'"),
+    "qualified_topk": QUALIFIED_SQL,
+    "query_plans": PLANS_SQL,
+    "evidence_scores": EVIDENCE_SQL,
+    "coverage_merge": COVERAGE_SQL,
+    "raw_merge": RAW_SQL,
     "title_overlap_candidates": TITLE_SQL,
     "vector_topk": VECTOR_SQL,
     "rrf_fusion": RRF_SQL,
