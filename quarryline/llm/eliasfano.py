@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import mmap
 
 import numpy as np
 
@@ -132,7 +133,18 @@ def save(uri: str, arrays: dict[str, np.ndarray], attempt: str) -> None:
     where.move(f"{path}.{attempt}", path)
 
 
-def load(uri: str) -> dict[str, np.ndarray]:
+class Arrays(dict):
+    """Arrays of a file by name."""
+
+    mapped: mmap.mmap | None = None
+
+    def release(self) -> None:
+        """Gives the pages read so far back; what is read again comes from the system's cache."""
+        if self.mapped is not None:
+            self.mapped.madvise(mmap.MADV_DONTNEED)
+
+
+def load(uri: str) -> Arrays:
     """Memory-mapped where the folder is a file system of this machine, read whole otherwise."""
     from pyarrow import fs
 
@@ -145,4 +157,6 @@ def load(uri: str) -> dict[str, np.ndarray]:
     size = int.from_bytes(raw[:8].tobytes(), "little")
     index = json.loads(raw[8 : 8 + size].tobytes())
     body = raw[8 + size :]
-    return {name: np.asarray(body[at : at + n * np.dtype(kind).itemsize]).view(kind) for name, (kind, n, at) in index.items()}
+    out = Arrays({name: np.asarray(body[at : at + n * np.dtype(kind).itemsize]).view(kind) for name, (kind, n, at) in index.items()})
+    out.mapped = getattr(raw, "_mmap", None)
+    return out

@@ -46,7 +46,8 @@ DISCOUNT, LEAST_COUNT = 0.75, 1
 OPEN_SHARDS = 512
 #: A block of texts looks into every shard, so it is larger than elsewhere.
 SCORE_BYTES = 4 << 20
-RANGE_WORDS, SHARD_TOKENS, HELD = 500_000, 3_000_000, 2_000_000
+#: Words of a range, tokens of a shard, counts and trigrams that a task holds: a worker needs about 100 bytes for each.
+RANGE_WORDS, SHARD_TOKENS, HELD, HELD_TRIGRAMS = 500_000, 1_500_000, 2_000_000, 2_500_000
 END = np.uint64(1)
 SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
@@ -102,6 +103,7 @@ class Vocabulary:
         files = [load(f"{root}/words-{r:05d}") for r in range(len(bases) - 1)]
         self.bases = np.array(bases)
         self.size = bases[-1]
+        self.files = files
         self.words = [EliasFano.of(f, "word") for f in files]
         self.counts = [f["n"] for f in files]
         self.backoff = [load(f"{root}/backoff-{r:05d}") for r in range(len(bases))] if with_backoff else []
@@ -116,6 +118,7 @@ class Vocabulary:
             known = mine[at >= 0]
             ids[known] = self.bases[r] + at[at >= 0]
             counts[known] = self.counts[r][at[at >= 0]]
+            self.files[r].release()
         return ids, counts
 
     def g(self, ids: np.ndarray) -> np.ndarray:
@@ -142,7 +145,7 @@ class Shard:
     """Level of first words, of second words under them, and of third words under those."""
 
     def __init__(self, uri: str):
-        f = load(uri)
+        self.file = f = load(uri)
         self.v = int(f["v"][0])
         self.first, self.second, self.third = (EliasFano.of(f, x) for x in ("first", "second", "third"))
         self.to_second, self.to_third = EliasFano.of(f, "to_second"), EliasFano.of(f, "to_third")
@@ -162,6 +165,8 @@ class Shard:
         some, b = some[w[some] >= 0], b[w[some] >= 0]
         c = self.third.find(b * self.v + w[some], self.to_third.access(b).astype(np.int64), self.to_third.access(b + 1).astype(np.int64))
         p3[some[c >= 0]] = self.book3[self.p3[c[c >= 0]]]
+        # so a worker holds the pages of one shard at a time
+        self.file.release()
         return p2, g, p3
 
 
@@ -279,7 +284,7 @@ def train(docs: DataFrame, work: Workspace, least: int = LEAST_COUNT) -> Model:
                 third = seq[np.minimum(at + 2, len(seq) - 1)]
                 held.append((seq[at], seq[at + 1], np.where(third == start, none, third)))
                 n_held += len(at)
-                if n_held > 2 * HELD:
+                if n_held > HELD_TRIGRAMS:
                     yield out()
                     n_held = 0
         if held:
@@ -296,7 +301,8 @@ def train(docs: DataFrame, work: Workspace, least: int = LEAST_COUNT) -> Model:
         pair, w, n = (np.concatenate(x) for x in zip(*parts, strict=True))
         parts.clear()
         order = np.lexsort([w, pair])
-        pair, w, n = pair[order], w[order], n[order]
+        pair, w, n = pair[order], w[order].astype(np.int64), n[order].astype(np.int64)
+        del order
         new = np.flatnonzero(np.concatenate([[True], (pair[1:] != pair[:-1]) | (w[1:] != w[:-1])]))
         n, pair, w = np.add.reduceat(n, new), pair[new], w[new]
         u, v = pair // n_ids, pair % n_ids
@@ -348,7 +354,7 @@ def _unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     step = np.ascontiguousarray(raw[: 8 * k].reshape(8, k).T).view("<u8").ravel()
     w = np.ascontiguousarray(raw[8 * k : 12 * k].reshape(4, k).T).view("<u4").ravel()
     n = np.ascontiguousarray(raw[12 * k :].reshape(4, k).T).view("<u4").ravel()
-    return np.cumsum(step).astype(np.int64), w.astype(np.int64), n.astype(np.int64)
+    return np.cumsum(step).astype(np.int64), w, n
 
 
 @lru_cache(2)
