@@ -58,15 +58,28 @@ def bind(value: Column, use: Callable[[Column], Column]) -> Column:
 
 def casefold(c: Column | str) -> Column:
     """Lower case with the two foldings that matter to tokens: sharp s and long s."""
-    return F.regexp_replace(F.regexp_replace(F.lower(text_of(c)), "ß", "ss"), "ſ", "s")
+    return F.replace(F.replace(F.lower(text_of(c)), F.lit("ß"), F.lit("ss")), F.lit("ſ"), F.lit("s"))
 
 
 def _without(values: Column, stop: Sequence[str]) -> Column:
     return F.filter(values, lambda w: ~w.isin(*stop))
 
 
+def _plain(c: Column | str) -> Column:
+    """Folded text without namespace wildcards, which only a text with a star can have."""
+    return bind(casefold(c), lambda t: F.when(F.contains(t, F.lit("*")), F.regexp_replace(t, WILDCARD, " ")).otherwise(t))
+
+
+def _latin(plain: Column) -> Column:
+    return _without(F.regexp_extract_all(plain, F.lit(LATIN), F.lit(0)), STOPWORDS)
+
+
+def _cjk(plain: Column) -> Column:
+    return F.when(F.rlike(plain, F.lit(CJK_RUN)), F.flatten(F.transform(F.regexp_extract_all(plain, F.lit(CJK_RUN), F.lit(0)), pairs_of))).otherwise(F.array().cast("array<string>"))
+
+
 def latin_tokens(c: Column | str) -> Column:
-    return _without(F.regexp_extract_all(F.regexp_replace(casefold(c), WILDCARD, " "), F.lit(LATIN), F.lit(0)), STOPWORDS)
+    return _latin(_plain(c))
 
 
 def pairs_of(run: Column) -> Column:
@@ -74,13 +87,12 @@ def pairs_of(run: Column) -> Column:
 
 
 def cjk_tokens(c: Column | str) -> Column:
-    runs = F.regexp_extract_all(F.regexp_replace(casefold(c), WILDCARD, " "), F.lit(CJK_RUN), F.lit(0))
-    return F.flatten(F.transform(runs, pairs_of))
+    return bind(_plain(c), _cjk)
 
 
 def tokens(c: Column | str) -> Column:
     """Latin tokens without stopwords, then bigrams of CJK runs. A namespace wildcard (ns/*) is no token."""
-    return F.concat(latin_tokens(c), cjk_tokens(c))
+    return bind(_plain(c), lambda t: F.concat(_latin(t), _cjk(t)))
 
 
 def normalised(c: Column | str) -> Column:

@@ -160,13 +160,17 @@ FROM fts_ FULL OUTER JOIN t_ USING (query_id, path)
 
 
 def fused_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lexical and title ranks fused with authority, titles and evidence, best passage a page, adaptively cut."""
+    """Lexical, title and vector ranks fused with authority, titles and evidence, best passage a page, adaptively cut.
+
+    A document's vector is the embedding of its number, and so is a question's.
+    """
     queries, corpus = benchmark_queries(spark, sf_dir), document_corpus(spark, sf_dir)
     fts = lexical.search(queries, corpus, "relaxed", 50)
     pages = corpus.passages
     title = lexical.title_candidates(queries, pages).join(pages.select("path", "passage_id"), "path")
-    none = fts.select("query_id", "passage_id", F.lit(None).cast("int").alias("vector_rank"), F.lit(None).cast("double").alias("vector_score")).limit(0)
-    found = fusion.candidates(fts, title, none).join(pages, "passage_id").join(queries.withColumn("intent", T.intent("question")), "query_id")
+    embedded = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("passage_id"), F.col("embedding").alias("vector"))
+    asked = embedded.select(F.col("passage_id").alias("query_id"), F.col("vector").alias("query_vector")).join(queries.select("query_id"), "query_id")
+    found = fusion.candidates(fts, title, fusion.vector_hits(asked, embedded)).join(pages, "passage_id").join(queries.withColumn("intent", T.intent("question")), "query_id")
     found = found.withColumn("evidence", evidence.judge("question", "text", "title", "path"))
     scored = fusion.best_per_page(fusion.fuse(found).withColumn("score", F.round("score", 9)))
     return fusion.adaptive_expand(scored, 10).select("query_id", "path", "score", "rank")
@@ -309,6 +313,26 @@ def raw_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recovery.raw_merge(wiki.select(cols), raw.select(cols), kinds).select("query_id", "passage_id", "from_raw", "source_rank", "fusion_score")
 
 
+FUSED_SQL = f"""
+WITH fts_ AS ({_bm25_sql('true', limit=50)}), {_TITLES},
+t_ AS (SELECT query_id, path, title_rank, regexp_extract(path, '([0-9]+)[.]md$', 1)::BIGINT AS passage_id FROM titles_ WHERE title_rank <= 10),
+a_ AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS q FROM embeddings JOIN benchmark ON item_id = vec_id),
+s_ AS (SELECT query_id, vec_id AS passage_id, round(list_dot_product(q, embedding::DOUBLE[]), 12) AS s FROM a_, embeddings),
+v_ AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, passage_id) AS vector_rank FROM s_ WHERE s >= 0.5) WHERE vector_rank <= 50),
+c_ AS (SELECT query_id, passage_id, max(f) AS fr, max(t) AS tr, max(v) AS vr FROM (SELECT query_id, passage_id, rank AS f, NULL AS t, NULL AS v FROM fts_ UNION ALL SELECT query_id, passage_id, NULL, title_rank, NULL FROM t_ UNION ALL SELECT query_id, passage_id, NULL, NULL, vector_rank FROM v_) GROUP BY ALL),
+rows_ AS (
+  SELECT c_.*, 'wiki/concepts/' || source || '/' || doc_id || '.md' AS path, coalesce(d.text, '') AS text, split_part(coalesce(d.text, ''), '.', 1) AS title, b.text AS question
+  FROM c_ JOIN documents d ON doc_id = passage_id JOIN benchmark b ON item_id = query_id),
+{_EVIDENCE},
+w_ AS (SELECT *, {_words("question")} AS qw, {_words("title")} AS tw, regexp_extract_all(lower(question), '[a-z0-9_]+') AS seq, regexp_replace(lower(title), '[^a-z0-9_]+', '', 'g') AS compact FROM j_),
+x_ AS (
+  SELECT query_id, path, round(round((coalesce(1.0::DOUBLE / (60 + fr), 0) + coalesce(1.0::DOUBLE / (60 + tr), 0) + coalesce(1.0::DOUBLE / (60 + vr), 0)) * 61 + 0.35::DOUBLE + CASE WHEN len(qw) > 0 AND len(tw) > 0 THEN 0.15::DOUBLE * len(list_intersect(qw, tw)) / len(qw) ELSE 0 END
+    + CASE WHEN len([i for i in range(1, len(seq)) if length(seq[i] || seq[i + 1]) >= 5 and contains(compact, seq[i] || seq[i + 1])]) > 0 THEN 2.0::DOUBLE ELSE 0 END + CASE WHEN lower(question) IN (lower(title), path) THEN 0.5::DOUBLE ELSE 0 END, 12) + evidence, 9) AS score FROM w_),
+k_ AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, path)::INT AS rank FROM x_),
+e_ AS (SELECT query_id, max(CASE WHEN rank = 10 THEN score END) AS edge, max(CASE WHEN rank = 1 THEN score END) AS first FROM k_ GROUP BY query_id),
+g_ AS (SELECT k_.*, CASE WHEN rank <= 10 OR (edge > 0 AND score >= greatest(0.9::DOUBLE * edge, 0.7::DOUBLE * first)) THEN 1 ELSE 0 END AS ok FROM k_ JOIN e_ USING (query_id) WHERE rank <= 40)
+SELECT query_id, path, score, rank FROM (SELECT *, min(ok) OVER (PARTITION BY query_id ORDER BY rank) AS run FROM g_) WHERE run = 1
+"""
 _LATIN = f"[x for x in regexp_extract_all(replace(lower({{c}}), 'ß', 'ss'), '[a-z0-9_]+') if x not in ({_STOP})]"
 COVERAGE_SQL = f"""
 WITH w_ AS ({_bm25_sql('g = wanted', limit=10)}), r_ AS ({_bm25_sql('true', limit=20)}),
@@ -436,6 +460,7 @@ ORACLE_SQL = {
     "qualified_topk": QUALIFIED_SQL,
     "query_plans": PLANS_SQL,
     "evidence_scores": EVIDENCE_SQL,
+    "fused_search": FUSED_SQL,
     "coverage_merge": COVERAGE_SQL,
     "raw_merge": RAW_SQL,
     "title_overlap_candidates": TITLE_SQL,
