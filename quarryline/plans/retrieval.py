@@ -277,7 +277,7 @@ q_ AS (SELECT *, {_jtok("question")} AS q, {_jtok("text")} AS t, list_distinct(l
   regexp_extract_all(question, '\\b[A-Za-z][a-z0-9]*(?:[A-Z][a-z0-9]+)+\\b|\\b[A-Za-z][A-Za-z0-9]*(?:_[A-Za-z0-9]+)+\\b|\\b[A-Za-z]+[0-9][A-Za-z0-9_]*\\b') AS ids, lower(title || chr(10) || path || chr(10) || text) AS hay FROM rows_),
 j_ AS (
   SELECT *, CASE WHEN len(q) = 0 AND len(ids) = 0 THEN 0 ELSE greatest(0, least(1, (CASE WHEN len(q) > 0 THEN len(list_intersect(q, t))::DOUBLE / len(q) ELSE 0 END)
-    + CASE WHEN len(q) >= 2 AND len([x for x in q if contains(lower(text), x)]) >= 2 THEN 0.15::DOUBLE ELSE 0 END + (CASE WHEN len(q) > 0 THEN 0.25::DOUBLE * len(list_intersect(q, names)) / len(q) ELSE 0 END)
+    + CASE WHEN len(q) >= 2 AND len([x for x in q if contains(replace(lower(text), 'ß', 'ss'), x)]) >= 2 THEN 0.15::DOUBLE ELSE 0 END + (CASE WHEN len(q) > 0 THEN 0.25::DOUBLE * len(list_intersect(q, names)) / len(q) ELSE 0 END)
     + CASE WHEN len([x for x in ids if length(x) > 1 and contains(hay, lower(x))]) > 0 THEN 0.15::DOUBLE ELSE 0 END)) END AS evidence FROM q_)
 """
 _TEXTS = "SELECT doc_id AS passage_id, coalesce(text, '') AS text, split_part(coalesce(text, ''), '.', 1) AS title FROM documents"
@@ -324,7 +324,7 @@ rows_ AS (
   SELECT c_.*, 'wiki/concepts/' || source || '/' || doc_id || '.md' AS path, coalesce(d.text, '') AS text, split_part(coalesce(d.text, ''), '.', 1) AS title, b.text AS question
   FROM c_ JOIN documents d ON doc_id = passage_id JOIN benchmark b ON item_id = query_id),
 {_EVIDENCE},
-w_ AS (SELECT *, {_words("question")} AS qw, {_words("title")} AS tw, regexp_extract_all(lower(question), '[a-z0-9_]+') AS seq, regexp_replace(lower(title), '[^a-z0-9_]+', '', 'g') AS compact FROM j_),
+w_ AS (SELECT *, {_words("question")} AS qw, {_words("title")} AS tw, regexp_extract_all(replace(lower(question), 'ß', 'ss'), '[a-z0-9_]+') AS seq, regexp_replace(replace(lower(title), 'ß', 'ss'), '[^a-z0-9_]+', '', 'g') AS compact FROM j_),
 x_ AS (
   SELECT query_id, path, round(round((coalesce(1.0::DOUBLE / (60 + fr), 0) + coalesce(1.0::DOUBLE / (60 + tr), 0) + coalesce(1.0::DOUBLE / (60 + vr), 0)) * 61 + 0.35::DOUBLE + CASE WHEN len(qw) > 0 AND len(tw) > 0 THEN 0.15::DOUBLE * len(list_intersect(qw, tw)) / len(qw) ELSE 0 END
     + CASE WHEN len([i for i in range(1, len(seq)) if length(seq[i] || seq[i + 1]) >= 5 and contains(compact, seq[i] || seq[i + 1])]) > 0 THEN 2.0::DOUBLE ELSE 0 END + CASE WHEN lower(question) IN (lower(title), path) THEN 0.5::DOUBLE ELSE 0 END, 12) + evidence, 9) AS score FROM w_),
