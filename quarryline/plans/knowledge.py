@@ -611,6 +611,24 @@ SELECT * FROM m WHERE (old_state, new_state) NOT IN (SELECT unnest([('planned',
 """
 
 
+def entity_statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as entities, their lines as pages of one kind or another."""
+    line = table(spark, sf_dir, "lineitem").where("l_quantity <> 7").select(F.col("l_orderkey").alias("entity_id"), F.col("l_linenumber").alias("path"), F.col("l_partkey").alias("passage_id"), F.when(F.col("l_quantity") == 3, 0.01).otherwise(F.col("l_quantity")).alias("score"), F.col("l_returnflag").alias("source_kind"))
+    return discovery.statuses(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("entity_id")), line)
+
+
+STATUSES_SQL = """
+WITH h AS (SELECT l_orderkey AS e, l_linenumber AS path, l_partkey AS p, CASE WHEN l_quantity = 3 THEN 0.01::DOUBLE ELSE l_quantity END AS s, l_returnflag AS kind FROM lineitem WHERE l_quantity <> 7),
+r AS (SELECT *, row_number() OVER w AS k, max(s) OVER (PARTITION BY e) AS top FROM h WINDOW w AS (PARTITION BY e ORDER BY s DESC, path, p)),
+n AS (SELECT * FROM r WHERE k <= 12 AND s >= greatest(0.05::DOUBLE, 0.82::DOUBLE * top)),
+g AS (SELECT e, max(s) FILTER (WHERE k = 1) AS a, max(path) FILTER (WHERE k = 1) AS path, max(s) FILTER (WHERE k = 2) AS b, count(DISTINCT kind) AS kinds, count(*) AS c FROM n GROUP BY e),
+x AS (SELECT *, c > 1 AND (b >= 0.93::DOUBLE * a OR kinds > 1) AS amb, CASE WHEN c = 1 THEN 1.0::DOUBLE ELSE a / (a + b) END AS share FROM g)
+SELECT o_orderkey AS entity_id, CASE WHEN a IS NULL THEN 'unresolved' WHEN amb THEN 'ambiguous' ELSE 'ok' END AS status, CASE WHEN a IS NULL THEN 0::DOUBLE ELSE round_even(CASE WHEN amb THEN least(share, 0.55::DOUBLE) ELSE share END, 4) END AS confidence, path,
+  coalesce(c, 0) AS n_pages, CASE WHEN a IS NULL THEN CASE WHEN m.e IS NOT NULL THEN 'unresolved:below_minimum_relevance' ELSE 'unresolved:no_eligible_candidates' END END AS reason
+FROM orders LEFT JOIN x ON x.e = o_orderkey LEFT JOIN (SELECT DISTINCT e FROM h) m ON m.e = o_orderkey
+"""
+
+
 def chat_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations as transcripts: whether they are valid, and how many messages they have."""
     line = F.concat(F.lit("## "), "role", F.when(F.col("conv_id") % 7 == 0, ":").otherwise(""), F.lit("\n"), F.regexp_replace("text", "#", ""), F.when(F.col("conv_id") % 5 == 0, "\n# Tool").otherwise(""))
@@ -647,7 +665,7 @@ QUERIES = {
     for f in (
         keyset_page, catalog_filter, full_outer_diff, neighbor_window, bigram_jaccard_titles, common_neighbors, shared_source, graph_evidence, graph_two_hop, stale_dependents, redact_counts,
         calibration_buckets, threshold_backoff, stratified_sample, revision_chain, latest_event, telemetry_ttl, log_rotation, overview_counts, conditional_counts, freshness_bonus, page_bodies,
-        provenance_audit, archive_blockers, page_link_lists, page_peaks, eligible_pages, fallback_steps, page_policies, archive_moves, chat_roles, gate_decisions, passage_chunks, pack_context, hit_window, wikilinks, mine_entities, link_suggestions, duplicate_titles, fingerprint, hashed_vectors, stream_dedup, event_windows,
+        provenance_audit, archive_blockers, page_link_lists, page_peaks, eligible_pages, fallback_steps, page_policies, archive_moves, entity_statuses, chat_roles, gate_decisions, passage_chunks, pack_context, hit_window, wikilinks, mine_entities, link_suggestions, duplicate_titles, fingerprint, hashed_vectors, stream_dedup, event_windows,
     )
 }
 ORACLE_SQL = {
@@ -657,5 +675,5 @@ ORACLE_SQL = {
     "revision_chain": REVISION_SQL, "latest_event": LATEST_SQL, "telemetry_ttl": TTL_SQL, "log_rotation": ROTATE_SQL,
     "overview_counts": "SELECT count(*) AS pages, count(DISTINCT source) AS projects, count(*) FILTER (WHERE lang = 'en') AS generated, count(*) FILTER (WHERE lang <> 'en') AS manual FROM documents",
     "conditional_counts": MIRROR_SQL, "freshness_bonus": FRESH_SQL, "page_bodies": BODIES_SQL, "provenance_audit": PROVENANCE_SQL, "threshold_backoff": _backoff_sql(), "gate_decisions": GATE_SQL, "wikilinks": WIKILINKS_SQL, "mine_entities": MINE_SQL, "duplicate_titles": DUPLICATES_SQL, "page_link_lists": LINK_LISTS_SQL, "page_peaks": PEAKS_SQL, "eligible_pages": ELIGIBLE_SQL,
-    "fallback_steps": FALLBACK_SQL, "page_policies": POLICY_SQL, "archive_moves": MOVES_SQL, "chat_roles": CHAT_SQL, "archive_blockers": ARCHIVE_SQL, "stream_dedup": DEDUP_SQL, "event_windows": WINDOWS_SQL,
+    "fallback_steps": FALLBACK_SQL, "page_policies": POLICY_SQL, "archive_moves": MOVES_SQL, "chat_roles": CHAT_SQL, "entity_statuses": STATUSES_SQL, "archive_blockers": ARCHIVE_SQL, "stream_dedup": DEDUP_SQL, "event_windows": WINDOWS_SQL,
 }

@@ -234,16 +234,27 @@ def query_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 EXPAND_SQL = f"""
-WITH w AS (SELECT DISTINCT unnest({_words("split_part(text, '.', 1)")}) AS word FROM documents),
-q AS (SELECT DISTINCT item_id AS query_id, unnest({_tok('text')}) AS term FROM benchmark),
-u AS (SELECT * FROM q WHERE length(term) >= 4 AND term NOT IN (SELECT word FROM w))
-SELECT DISTINCT query_id, term, word FROM u JOIN w ON abs(length(term) - length(word)) <= 1 AND length(word) >= 3 AND (
+WITH w AS (SELECT DISTINCT word FROM (SELECT unnest({_tok("split_part(text, '.', 1)")}) AS word FROM documents) WHERE length(word) >= 4),
+u AS (SELECT DISTINCT query_id, term FROM (SELECT item_id AS query_id, unnest({_tok('text')}) AS term FROM benchmark) WHERE length(term) >= 2)
+SELECT DISTINCT query_id, term, word FROM u JOIN w ON abs(length(term) - length(word)) <= 1 AND term <> word AND (
   (length(term) = length(word) AND len([i for i in range(1, length(term) + 1) if substr(term, i, 1) <> substr(word, i, 1)]) = 1)
   OR (length(term) = length(word) + 1 AND list_contains([substr(term, 1, i - 1) || substr(term, i + 1) for i in range(1, length(term) + 1)], word))
   OR (length(word) = length(term) + 1 AND list_contains([substr(word, 1, i - 1) || substr(word, i + 1) for i in range(1, length(word) + 1)], term)))
 """
 
 
+def query_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    queries, pages = benchmark_queries(spark, sf_dir), document_pages(spark, sf_dir)
+    return lexical.suggestions(queries, pages, lexical.expansions(queries, pages))
+
+
+SUGGEST_SQL = f"""
+WITH e AS ({EXPAND_SQL}), t AS (SELECT DISTINCT unnest({_tok("split_part(text, '.', 1)")}) AS term FROM documents),
+u AS (SELECT DISTINCT query_id, term FROM (SELECT item_id AS query_id, unnest({_tok('text')}) AS term FROM benchmark) WHERE length(term) >= 2)
+SELECT query_id, term FROM u WHERE term NOT IN (SELECT term FROM t) AND (query_id, term) NOT IN (SELECT query_id, term FROM e)
+"""
+
+
 def intent_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(T.intent("text").alias("intent"), T.language_bucket("text").alias("bucket")).groupBy("intent", "bucket").agg(F.count("*").alias("n"))
 
@@ -440,6 +451,7 @@ QUERIES = {
     "plateau_select": plateau_select,
     "branch_margin": branch_margin,
     "levenshtein_join": query_expansion,
+    "query_suggestions": query_suggestions,
     "intent_classes": intent_classes,
     "evidence_scores": evidence_scores,
     "hop_expansion": hop_expansion,
@@ -472,6 +484,7 @@ ORACLE_SQL = {
     "plateau_select": PLATEAU_SQL,
     "branch_margin": MARGIN_SQL,
     "levenshtein_join": EXPAND_SQL,
+    "query_suggestions": SUGGEST_SQL,
     "intent_classes": INTENT_SQL,
     "ranking_metrics": METRICS_SQL,
     "metrics_by_k": BY_K_SQL,

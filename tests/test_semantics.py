@@ -359,3 +359,20 @@ def test_mentions(spark):
     got = catalog.link_suggestions(frame(spark, [("wiki/p.md", body)], "path string, body string"), pages).orderBy("offset").collect()
     assert [(r.target, r.mention, r.line) for r in got] == [("wiki/carrier-gateway.md", "carrier gateway", 1), ("wiki/gateway.md", "Gateway", 1), ("wiki/cn.md", "网关规则", 2)]
     assert got[0].link == "[[carrier-gateway|carrier gateway]]"
+
+
+def test_questions_for_lists(spark):
+    rows = [("list all modules", True), ("N/record", False), ("N/*", True), ("explain N/*", False), ("available N/record methods", False), ("N/record and N/search types", True), ("有哪些脚本", True), ("how do rates work", False), ("what is N/*", False)]
+    df = frame(spark, rows, "question string, want boolean")
+    assert all(r.got == r.want for r in df.select("question", "want", discovery.requested("question").alias("got")).collect())
+    got = frame(spark, [("list N/* modules of the Gateway, 脚本 清单",)], "q string").select(discovery.anchors("q").alias("a"), discovery.focus("q").alias("f")).first()
+    assert got.a == ["gateway"] and set(got.f) == {"gateway", "script", "scripts", "catalog", "directory", "list"}
+
+
+def test_pages_that_are_catalogues(spark):
+    pages = frame(spark, [("wiki/a.md", "Gateway Modules"), ("wiki/b.md", "Gateway API reference"), ("wiki/c.md", "Gateway"), ("wiki/n-modules.md", "Suite Modules"), ("wiki/e.md", "Types"), ("wiki/f.md", "Other"), ("wiki/g.md", "Else"), ("wiki/h.md", "More")], "path string, title string")
+    asked = frame(spark, [(1, "list gateway modules"), (2, "all members of N/*"), (3, "zebra list")], "query_id int, question string")
+    passages = frame(spark, [("wiki/n-modules.md", 0, "N/record, N / search and n/log; N/a"), ("wiki/e.md", 0, "N/record only")], "path string, ordinal int, text string")
+    hits = frame(spark, [(3, "wiki/f.md", 1), (1, "wiki/f.md", 1)], "query_id int, path string, rank int")
+    got = [tuple(r) for r in discovery.source_pages(asked, pages, passages, hits).orderBy("query_id", "source_rank").collect()]
+    assert got == [(1, "wiki/a.md", 8, 1), (2, "wiki/n-modules.md", 6, 1), (3, "wiki/f.md", 0, 1)]
