@@ -184,6 +184,38 @@ def legacy_migration(pages: DataFrame, marker: bool) -> DataFrame:
     return old.join(taken, "target", "left").select("path", "target", F.when(F.col("taken"), "target_exists").alias("blocker"))
 
 
+# Where shared specifications lie, and what they may apply to.
+SHARED_SPECS, APPLIES_TO = "wiki/entities/shared-specs/", ("languages", "platforms", "frameworks")
+
+
+def shared_spec_plan(requests: DataFrame, pages: DataFrame) -> DataFrame:
+    """request_id, page_path, action (create, update, unchanged, delete) or code (why not), current_hash, desired_hash, missing: origins without a page.
+
+    requests: request_id, operation (upsert or delete), page_path, title, body, applies_to (map of lists), conditions, derived_from
+    (project, path, rule: rules of projects' specifications); pages: path, content_hash.
+    """
+    path, none = F.col("page_path"), F.array().cast("array<struct<project:string,path:string,rule:string>>")
+    origins = F.coalesce("derived_from", none)
+    parts = lambda o: F.split(o["path"], "/")
+    spec = lambda o: o["path"].startswith("wiki/projects/") & (F.size(parts(o)) >= 5) & (F.get(parts(o), F.lit(2)) == o["project"]) & (F.get(parts(o), F.lit(3)) == "specs") & (F.trim(T.text_of(o["rule"])) != "")
+    lists = F.coalesce(F.col("applies_to"), F.create_map().cast("map<string,array<string>>"))
+    applies = F.forall(F.map_keys(lists), lambda k: k.isin(*APPLIES_TO)) & F.forall(F.flatten(F.map_values(lists)), lambda x: F.trim(T.text_of(x)) != "")
+    tidy = F.transform_values(lists, lambda k, v: F.array_sort(F.array_distinct(F.transform(v, lambda x: F.trim(x)))))
+    desired = F.sha2(F.to_json(F.struct(F.trim("title").alias("title"), "body", F.array_sort(F.map_entries(tidy)).alias("applies_to"), F.trim(T.text_of("conditions")).alias("conditions"), F.array_sort(F.array_distinct(origins)).alias("derived_from"))), 256)
+    have = pages.select(F.col("path").alias("page_path"), F.col("content_hash").alias("current_hash"))
+    gone = requests.select("request_id", F.explode(origins).alias("o")).select("request_id", F.col("o.path").alias("path")).join(pages.select("path"), "path", "left_anti").groupBy("request_id").agg(F.array_sort(F.collect_set("path")).alias("missing"))
+    rows = requests.join(have, "page_path", "left").join(gone, "request_id", "left").withColumn("missing", F.coalesce("missing", F.array().cast("array<string>")))
+    upsert = F.col("operation") == "upsert"
+    code = (
+        F.when(~F.col("operation").isin("upsert", "delete"), "invalid_operation").when(~path.startswith(SHARED_SPECS) | ~path.endswith(".md") | path.contains(".."), "invalid_page_path")
+        .when(~upsert & F.col("current_hash").isNull(), "page_not_found").when(upsert & ((F.trim(T.text_of("title")) == "") | F.col("body").isNull()), "invalid_shared_spec")
+        .when(upsert & ((F.size(origins) == 0) | ~F.coalesce(F.forall(origins, spec), F.lit(False))), "invalid_derived_from").when(upsert & ~F.coalesce(applies, F.lit(False)), "invalid_applies_to")
+    )
+    rows = rows.withColumn("code", code).withColumn("desired_hash", F.when(upsert & F.col("code").isNull(), desired))
+    action = F.when(F.col("code").isNotNull(), None).when(~upsert, "delete").when(F.col("current_hash").isNull(), "create").when(F.col("current_hash") == F.col("desired_hash"), "unchanged").otherwise("update")
+    return rows.select("request_id", "page_path", action.alias("action"), "code", "current_hash", "desired_hash", "missing")
+
+
 class Adapters:
     """Write adapters by operation kind, then by path prefix, in the order of registration."""
 

@@ -484,14 +484,14 @@ def duplicate_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 DUPLICATES_SQL = r"""
-WITH lit AS (SELECT * FROM (VALUES ('wiki/entities/gateway.md', 'Carrier Gateway', ['gateway']), ('wiki/entities/rate-engine.md', 'Rate Engine', []), ('wiki/concepts/budget.md', 'Retry Budget', []), ('wiki/concepts/gateway-guide.md', 'Carrier Gateways', [])) v(path, title, aliases)),
+WITH lit AS (SELECT * FROM (VALUES ('wiki/entities/gateway.md', 'Carrier Gateway', ['gateway']), ('wiki/entities/rate-engine.md', 'Rate Engine', []), ('wiki/concepts/budget.md', 'Retry Budget', []), ('wiki/concepts/gateway-guide.md', 'gateway-guide', [])) v(path, title, aliases)),
 p AS (SELECT 'wiki/docs/d' || doc_id || '.md' AS path, regexp_extract(text, '^([A-Za-z]+ [A-Za-z]+) ', 1) AS title, []::VARCHAR[] AS aliases, 'note' AS kind FROM documents WHERE regexp_matches(text, '^[A-Za-z]+ [A-Za-z]+ ')
   UNION ALL SELECT path, title, aliases::VARCHAR[], 'wiki' FROM lit),
 n AS (SELECT path, unnest(list_distinct(list_concat([title], aliases))) AS name FROM p),
 s AS (SELECT path, unnest(list_distinct(list_concat([title, trim(regexp_replace(regexp_extract(path, '([^/]*)[.]md$', 1), '[-_]+', ' ', 'g'))], aliases))) AS name FROM p),
 nk AS (SELECT path, name, regexp_replace(lower(name), '[^a-z0-9]+', '', 'g') AS key FROM n), sk AS (SELECT path, name, regexp_replace(lower(name), '[^a-z0-9]+', '', 'g') AS key FROM s),
-ng AS (SELECT *, list_distinct([substr(key, i, 2) for i in range(1, length(key))]) AS g, list_distinct(string_split(lower(name), ' ')) AS w FROM nk WHERE key <> ''),
-sg AS (SELECT *, list_distinct([substr(key, i, 2) for i in range(1, length(key))]) AS g, list_distinct(string_split(lower(name), ' ')) AS w FROM sk WHERE key <> ''),
+ng AS (SELECT *, list_distinct([substr(key, i, 2) for i in range(1, length(key))]) AS g, list_distinct([x for x in regexp_split_to_array(lower(name), '[^a-z0-9]+') if x <> '']) AS w FROM nk WHERE key <> ''),
+sg AS (SELECT *, list_distinct([substr(key, i, 2) for i in range(1, length(key))]) AS g, list_distinct([x for x in regexp_split_to_array(lower(name), '[^a-z0-9]+') if x <> '']) AS w FROM sk WHERE key <> ''),
 m AS (
   SELECT a.path AS page_path, b.path, a.key = b.key AS same, len(list_intersect(a.g, b.g))::DOUBLE / len(list_distinct(list_concat(a.g, b.g))) AS j,
     CASE WHEN least(length(a.key), length(b.key)) >= 4 AND (contains(a.key, b.key) OR contains(b.key, a.key)) THEN least(length(a.key), length(b.key))::DOUBLE / greatest(length(a.key), length(b.key)) ELSE 0 END AS c,

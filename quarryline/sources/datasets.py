@@ -31,6 +31,16 @@ def cases(spark: SparkSession, path: str) -> DataFrame:
     return rows.drop("__bad", "_corrupt_record")
 
 
+def manifest(spark: SparkSession, path: str) -> dict:
+    """The manifest of a set: dataset_id, revision, abstention_threshold, status, schema_version; ValueError if it is no valid one."""
+    row = spark.read.option("multiLine", True).schema("schema_version int, dataset_id string, revision string, abstention_threshold double, status string").json(path).first()
+    found = {"schema_version": 1, "status": "reviewed"} | {k: v for k, v in (row.asDict() if row else {}).items() if v is not None}
+    names = [k for k in ("dataset_id", "revision", "status") if not str(found.get(k) or "").strip()]
+    if names or found["schema_version"] not in (1, 2) or not found.get("abstention_threshold", -1) >= 0:
+        raise ValueError(f"manifest_invalid: {names or found}")
+    return found | {"status": found["status"].strip()}
+
+
 def gold(case_rows: DataFrame) -> DataFrame:
     return case_rows.select(F.col("id").alias("query_id"), F.explode("relevant").alias("r")).select("query_id", "r.path", "r.grade")
 

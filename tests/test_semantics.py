@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from quarryline.functions import identifiers, markdown
 from quarryline.functions import text as T
 from quarryline.operators import catalog, context, discovery, evidence, filters, lexical, quality, recovery, state
+from quarryline.sources import datasets
+from quarryline.sources import pages as source_pages
+from quarryline.sources import vectors as vector_store
 from quarryline.streaming import jobs
 
 
@@ -376,3 +379,69 @@ def test_pages_that_are_catalogues(spark):
     hits = frame(spark, [(3, "wiki/f.md", 1), (1, "wiki/f.md", 1)], "query_id int, path string, rank int")
     got = [tuple(r) for r in discovery.source_pages(asked, pages, passages, hits).orderBy("query_id", "source_rank").collect()]
     assert got == [(1, "wiki/a.md", 8, 1), (2, "wiki/n-modules.md", 6, 1), (3, "wiki/f.md", 0, 1)]
+
+
+# ---- sources and shared specifications
+
+
+def test_paths_of_each_store(spark):
+    paths = ["wiki/concepts/a.md", "wiki/concepts/Index.md", "wiki/other/b.md", "wiki/sources/c.md", "raw/sources/chat/d.md", "raw/sources/chat/legacy/e.md", "raw/sources/web/p/f.md", "raw/sources/assets/g.md", "raw/h.md", "archives/bundles/x/i.md", "wiki/archives/j.md"]
+    df = frame(spark, [(p,) for p in paths], "path string")
+    got = {s: {r.path for r in df.where(source_pages.eligible_path(F.col("path"), s)).collect()} for s in ("active", "raw", "archive")}
+    assert got == {"active": {"wiki/concepts/a.md", "raw/sources/chat/d.md"}, "raw": {"raw/sources/web/p/f.md"}, "archive": {"archives/bundles/x/i.md"}}
+
+
+def test_what_a_page_is_by_its_path(spark):
+    rows = [("wiki/projects/pay/x.md", "# Heading\ntext"), ("raw/sources/chat/2026/s1.md", "hi"), ("raw/sources/web/pay/doc.md", "---\ntitle: T\n---\nx"), ("raw/sources/file/Vendor/doc.md", "x"), ("wiki/concepts/c.md", "---\ntype: concept\nlifecycle: stale\n---\nx")]
+    got = {r.path: (r.title, r.project, r.corpus, r.authority, r.source_kind, r.page_type, r.lifecycle_status) for r in source_pages.pages(frame(spark, rows, "path string, text string")).collect()}
+    assert got == {
+        "wiki/projects/pay/x.md": ("x", "pay", "knowledge", "high", "wiki", "", "active"), "raw/sources/chat/2026/s1.md": ("s1", "unknown", "history", "low", "raw_chat", "", "active"), "raw/sources/web/pay/doc.md": ("T", "pay", "raw", "low", "raw", "raw", "active"),
+        "raw/sources/file/Vendor/doc.md": ("doc", "", "raw", "low", "raw", "raw", "active"), "wiki/concepts/c.md": ("c", "", "knowledge", "high", "concept", "concept", "stale"),
+    }
+
+
+def test_archives_and_stale_builds(spark, tmp_path):
+    body = bytearray(b"---\ntitle: Old\n---\nx")
+    files = frame(spark, [("archives/bundles/1/a.md", body)], "path string, content binary")
+    good = files.select("path", F.sha2("content", 256).alias("sha256"))
+    assert [(r.title, r.store, r.lifecycle_status) for r in source_pages.archive_pages(files, good).collect()] == [("Old", "archive", "archived")]
+    with pytest.raises(ValueError):
+        source_pages.archive_pages(files, good.withColumn("sha256", F.lit("0" * 64)))
+    with pytest.raises(ValueError):
+        source_pages.reconcile(files, files, "archive")
+    root = str(tmp_path / "index")
+    source_pages.save(source_pages.build(source_pages.pages(frame(spark, [("wiki/concepts/a.md", "x")], "path string, text string"))), root, "2026-01-01T00:00:00")
+    assert not source_pages.is_stale(spark, root)
+    source_pages.mark_stale(spark, root, "2026-01-02T00:00:00")
+    assert source_pages.is_stale(spark, root)
+
+
+def test_manifest_and_vectors(spark, tmp_path):
+    path = tmp_path / "m.json"
+    path.write_text('{"schema_version": 2, "dataset_id": "d", "revision": "r", "abstention_threshold": 0.2}')
+    assert datasets.manifest(spark, str(path)) == {"schema_version": 2, "dataset_id": "d", "revision": "r", "abstention_threshold": 0.2, "status": "reviewed"}
+    path.write_text('{"dataset_id": "d", "revision": "", "abstention_threshold": 0.2}')
+    with pytest.raises(ValueError):
+        datasets.manifest(spark, str(path))
+    store = frame(spark, [("p", "a.md", "h", "wiki", [1.0, 0.0])], "passage_id string, page_path string, content_hash string, source_kind string, vector array<float>")
+    vector_store.save(store, str(tmp_path / "v"), "hashing-2", "2026-01-01")
+    vector_store.save(store.withColumn("content_hash", F.lit("h2")), str(tmp_path / "v"), "hashing-2", "2026-01-02")
+    assert [r.content_hash for r in vector_store.load(spark, str(tmp_path / "v"), "hashing-2").collect()] == ["h2"]
+    with pytest.raises(ValueError):
+        vector_store.load(spark, str(tmp_path / "v"), "other")
+    pages = frame(spark, [("a.md", True, "navigation")], "path string, generated boolean, page_type string")
+    assert vector_store.prune(store, pages).count() == 0
+
+
+def test_shared_specs(spark):
+    origin = [("pay", "wiki/projects/pay/specs/a.md", "rule 1")]
+    base = "wiki/entities/shared-specs/"
+    rows = [
+        (1, "upsert", base + "x.md", "X", "b", {"languages": ["py"]}, origin), (2, "delete", base + "none.md", None, None, None, None), (3, "move", base + "x.md", "X", "b", None, origin), (4, "upsert", "wiki/x.md", "X", "b", None, origin),
+        (5, "upsert", base + "y.md", " ", "b", None, origin), (6, "upsert", base + "y.md", "Y", "b", None, []), (7, "upsert", base + "y.md", "Y", "b", {"cars": ["x"]}, origin), (8, "delete", base + "old.md", None, None, None, None), (9, "upsert", base + "old.md", "O", "b", None, origin),
+        (10, "upsert", base + "y.md", "Y", "b", None, [("log", "wiki/projects/pay/specs/a.md", "r")]),
+    ]
+    asked = frame(spark, rows, "request_id int, operation string, page_path string, title string, body string, applies_to map<string,array<string>>, derived_from array<struct<project:string,path:string,rule:string>>").withColumn("conditions", F.lit(""))
+    got = {r.request_id: r for r in state.shared_spec_plan(asked, frame(spark, [(base + "old.md", "h")], "path string, content_hash string")).collect()}
+    assert {k: r.action or r.code for k, r in got.items()} == {1: "create", 2: "page_not_found", 3: "invalid_operation", 4: "invalid_page_path", 5: "invalid_shared_spec", 6: "invalid_derived_from", 7: "invalid_applies_to", 8: "delete", 9: "update", 10: "invalid_derived_from"}
+    assert got[1].missing == ["wiki/projects/pay/specs/a.md"]
