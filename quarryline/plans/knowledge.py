@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -510,6 +511,13 @@ def fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.fingerprint(document_pages(spark, sf_dir), "path", "redacted_hash")
 
 
+FINGERPRINT_SQL = """
+WITH e AS (SELECT sha256('wiki/concepts/' || source || '/' || doc_id || '.md' || chr(0) || coalesce(sha256(text), chr(1))) AS h FROM documents),
+b AS (SELECT substr(h, 1, 3) AS bin, sha256(string_agg(h, '' ORDER BY h)) AS h FROM e GROUP BY 1)
+SELECT sha256(string_agg(h, '' ORDER BY bin)) AS fingerprint FROM b
+"""
+
+
 def hashed_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.Hashing(16).embed(table(spark, sf_dir, "benchmark"), "text").select("item_id", F.transform("vector", lambda x: F.round(x, 6)).alias("vector"))
 
@@ -644,7 +652,10 @@ SELECT conv_id, bool_and(role IN ('user', 'assistant')) AND conv_id % 5 <> 0 AS
 def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as a stream, the first of each user and type kept."""
     e = table(spark, sf_dir, "events")
-    folder = tempfile.mkdtemp(prefix="stream-") if spark.sparkContext.master.startswith("local") else f"{spark.conf.get('spark.checkpoint.dir')}/stream-{spark.sparkContext.applicationId}"
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    folder = f"{shared or tempfile.mkdtemp(prefix='stream-')}/stream-{uuid.uuid4().hex[:12]}"
     rows = spark.readStream.schema(e.schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir).select(F.col("ts").cast("timestamp").alias("ts"), F.concat_ws(":", "user_id", "event_type").alias("request_id"))
     jobs.run_now(jobs.once_per_request(rows, "request_id", "ts", "3650 days").select("request_id"), f"{folder}/state", f"{folder}/out").awaitTermination()
     return spark.read.parquet(f"{folder}/out")
@@ -675,5 +686,5 @@ ORACLE_SQL = {
     "revision_chain": REVISION_SQL, "latest_event": LATEST_SQL, "telemetry_ttl": TTL_SQL, "log_rotation": ROTATE_SQL,
     "overview_counts": "SELECT count(*) AS pages, count(DISTINCT source) AS projects, count(*) FILTER (WHERE lang = 'en') AS generated, count(*) FILTER (WHERE lang <> 'en') AS manual FROM documents",
     "conditional_counts": MIRROR_SQL, "freshness_bonus": FRESH_SQL, "page_bodies": BODIES_SQL, "provenance_audit": PROVENANCE_SQL, "threshold_backoff": _backoff_sql(), "gate_decisions": GATE_SQL, "wikilinks": WIKILINKS_SQL, "mine_entities": MINE_SQL, "duplicate_titles": DUPLICATES_SQL, "page_link_lists": LINK_LISTS_SQL, "page_peaks": PEAKS_SQL, "eligible_pages": ELIGIBLE_SQL,
-    "fallback_steps": FALLBACK_SQL, "page_policies": POLICY_SQL, "archive_moves": MOVES_SQL, "chat_roles": CHAT_SQL, "entity_statuses": STATUSES_SQL, "archive_blockers": ARCHIVE_SQL, "stream_dedup": DEDUP_SQL, "event_windows": WINDOWS_SQL,
+    "fallback_steps": FALLBACK_SQL, "page_policies": POLICY_SQL, "archive_moves": MOVES_SQL, "chat_roles": CHAT_SQL, "entity_statuses": STATUSES_SQL, "fingerprint": FINGERPRINT_SQL, "archive_blockers": ARCHIVE_SQL, "stream_dedup": DEDUP_SQL, "event_windows": WINDOWS_SQL,
 }

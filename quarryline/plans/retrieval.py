@@ -376,6 +376,19 @@ def strong_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.select("query_id", "passage_id", recovery.is_strong("question", "title", "path", "text").alias("relaxed"), recovery.is_strong("question", "title", "path", "text", body_evidence=False).alias("primary_"))
 
 
+STRONG_SQL = f"""
+WITH h_ AS ({_bm25_sql('true', limit=20)}),
+r_ AS (SELECT h_.query_id, h_.passage_id, replace(lower(trim(b.text)), 'ß', 'ss') AS q, replace(lower(d.title), 'ß', 'ss') AS name, h_.path AS place, replace(lower(d.text), 'ß', 'ss') AS body, {_tok("b.text")} AS words, {_tok("d.title")} AS mine,
+  [replace(lower(x), 'ß', 'ss') for x in regexp_extract_all(b.text, '(?i)[a-z0-9_]+(?:\\s+[a-z0-9_]+)+')] AS phrases
+  FROM h_ JOIN ({_TEXTS}) d USING (passage_id) JOIN benchmark b ON b.item_id = h_.query_id),
+m_ AS (SELECT *, list_distinct(list_intersect(mine, words)) AS met, list_distinct([m for m in mine if length(m) >= 4 and len([w for w in words if w <> m and length(w) >= 4 and abs(length(w) - length(m)) <= 1 and levenshtein(w, m) = 1]) > 0]) AS near FROM r_),
+n_ AS (SELECT *, list_distinct(list_concat(met, near)) AS either, (name <> '' AND (contains(q, name) OR contains(name, q))) OR (length(q) >= 4 AND q IN (name, place)) AS said FROM m_)
+SELECT query_id, passage_id, said OR len([p for p in phrases if contains(name || chr(10) || place || chr(10) || body, p)]) > 0 OR len(met) > 0 OR len(near) > 0 AS relaxed,
+  said OR len([p for p in phrases if contains(name || chr(10) || place, p)]) > 0 OR len([x for x in met if x NOT IN ({", ".join(f"'{w}'" for w in T.GENERIC_TITLE_TOKENS)})]) >= 1 OR len(met) >= 2
+    OR (len(near) > 0 AND (len([x for x in either if x NOT IN ({", ".join(f"'{w}'" for w in T.GENERIC_TITLE_TOKENS)})]) >= 1 OR len(either) >= 2)) AS primary_ FROM n_
+"""
+
+
 def _judged(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     d = table(spark, sf_dir, "documents")
     ranked = lexical.top(d.select(F.col("source").alias("query_id"), F.col("doc_id").alias("path"), "n_chars"), 40, [F.col("n_chars").desc(), F.col("path")])
@@ -473,6 +486,7 @@ ORACLE_SQL = {
     "query_plans": PLANS_SQL,
     "evidence_scores": EVIDENCE_SQL,
     "fused_search": FUSED_SQL,
+    "strong_hits": STRONG_SQL,
     "coverage_merge": COVERAGE_SQL,
     "raw_merge": RAW_SQL,
     "title_overlap_candidates": TITLE_SQL,

@@ -445,3 +445,19 @@ def test_shared_specs(spark):
     got = {r.request_id: r for r in state.shared_spec_plan(asked, frame(spark, [(base + "old.md", "h")], "path string, content_hash string")).collect()}
     assert {k: r.action or r.code for k, r in got.items()} == {1: "create", 2: "page_not_found", 3: "invalid_operation", 4: "invalid_page_path", 5: "invalid_shared_spec", 6: "invalid_derived_from", 7: "invalid_applies_to", 8: "delete", 9: "update", 10: "invalid_derived_from"}
     assert got[1].missing == ["wiki/projects/pay/specs/a.md"]
+
+
+def test_hashed_vectors(spark):
+    """Against counts by XXH64 with Spark's seed."""
+    import xxhash
+
+    from quarryline.functions import vectors
+
+    texts = ["carrier gateway of the rates gateway", "", "路由 规则 N/record", "one"]
+    for r in vectors.Hashing(8).embed(frame(spark, [(x,) for x in texts], "t string"), "t").withColumn("w", T.tokens("t")).collect():
+        want = [0.0] * 8
+        for w in r.w:
+            h = xxhash.xxh64(w.encode(), seed=42).intdigest()
+            want[(h - (1 << 64) if h >> 63 else h) % 8] += 1
+        norm = sum(x * x for x in want) ** 0.5
+        assert r.vector == pytest.approx([x / norm if norm else x for x in want])
