@@ -228,7 +228,7 @@ def test_markov_spans_against_a_plain_chain(spark, sf):
     model = {a + b: logp(random_, a, b) - logp(ordinary, a, b) for a in order for b in secrets.SYMBOLS}
     assert secrets.train(frame) == pytest.approx(model)
     rng = random.Random(26)
-    planted = [hashlib.sha256(str(i).encode()).hexdigest()[:20] + "Zq" for i in range(20)] + ["ordinary_identifier_2", "some/path/to/file-v1.txt", "SuiteScript2ModuleLoader"]
+    planted = [hashlib.sha256(str(i).encode()).hexdigest()[:20] + "Zq" for i in range(20)] + ["ordinary_identifier_2", "some/path/to/file-v1.txt", "ScriptModuleLoader2"]
     texts = [(i, " ".join(rng.choice([*planted, *WORDS]) for _ in range(30))) for i in range(60)] + [(1000 + r.doc_id, r.text) for r in rows]
     texts.append((999, " ".join(f"k{i}_{hashlib.sha256(str(i).encode()).hexdigest()[:22]}" for i in range(700))))
     found = 0
