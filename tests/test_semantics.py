@@ -33,7 +33,7 @@ def test_spellings_of_an_identifier():
 
 @pytest.mark.parametrize(
     ("text", "want"),
-    [("NetSuite", []), ("Nauth", ["n/auth"]), ("Suitelet script", []), ("N/ui/serverWidget", ["n/ui/serverwidget"]), ("use N/record and N/search, N/record", ["n/record", "n/search"]),
+    [("DataSuite", []), ("Nauth", ["n/auth"]), ("Gatelet script", []), ("N/ui/serverWidget", ["n/ui/serverwidget"]), ("use N/record and N/search, N/record", ["n/record", "n/search"]),
      ("N/crypto/certificate模块", ["n/crypto/certificate"]), ("List/Record, plug-in", ["list/record", "plug/in"]), ("N search for Nauth", ["n/search"])],
 )
 def test_identifiers_of_a_text(text, want):
@@ -92,7 +92,7 @@ def test_phrase_groups_of_spellings(spark):
 @pytest.mark.parametrize(
     ("question", "want"),
     [("what did we discuss last time", "history"), ("N/record模块有哪些方法？", "exact_evidence"), ("compare a and b", "comparison"), ("deep dive on queues", "research"), ("how to install it", "concept"), ("invoice approval", "exact_entity"), ("纯中文问题", "concept"),
-     ("配置netsuite系统内ai connector的mcp工具的完整步骤是什么", "concept"), ("a b", "concept")],
+     ("配置gateway系统内ai connector的mcp工具的完整步骤是什么", "concept"), ("a b", "concept")],
 )
 def test_intents(spark, question, want):
     assert frame(spark, [(question,)], "q string").select(T.intent("q")).first()[0] == want
