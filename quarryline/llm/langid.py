@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import short_batches
+from .shared import short_batches, tidy
 from .text import U, blocks, mix, strings
 
 PROFILE = 400
@@ -62,6 +62,7 @@ def _grams(block: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return (both >> U(40)).astype(np.int64), (both & U((1 << 40) - 1)).astype(np.int64), counts
 
 
+@tidy
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
     size = 0
@@ -140,6 +141,7 @@ def predict(docs: DataFrame, profiles: dict[str, np.ndarray], text: str = "text"
     schema = T.StructType([docs.schema[c] for c in kept] + [T.StructField(result[0], T.StringType()), T.StructField(result[1], T.DoubleType())])
     names = np.array([*profiles, "und"], object)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             whole = strings(batch.column(len(rest)))

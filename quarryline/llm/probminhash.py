@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import Workspace, row_key, small
+from .shared import Workspace, row_key, small, tidy
 from .text import MARKS, U, Words, blocks, mix, prefix_hashes, span_hash, strings, words
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -100,6 +100,7 @@ def _keys(reg: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return key, (mix(reg + U(7)) >> U(56)).astype(np.uint8)
 
 
+@tidy
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["doc_id", "row", "node", "bands", "sketch"]
     for batch in batches:
@@ -143,6 +144,7 @@ def _bands(column: pa.ListArray) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False)[at]
 
 
+@tidy
 def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keep = _estimate(_sketches(batch.column("sa")), _sketches(batch.column("sb"))) >= CUT
@@ -158,6 +160,7 @@ def _sets(texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
     return out
 
 
+@tidy
 def _within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links between different components among the members of each cell of a bucket.
 
@@ -195,6 +198,7 @@ def _within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.float64())], ["a", "b", "similarity"])
 
 
+@tidy
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for start in range(0, whole.num_rows, PAIRS_AT_ONCE):

@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Workspace
+from .shared import Workspace, tidy
 from .text import U, filled, mix
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
@@ -115,6 +115,7 @@ def tokenise(docs: DataFrame, work: Workspace, vocabulary: str = VOCABULARY) ->
     kind = np.dtype("<u2" if end <= 0xFFFF else "<u4")
     shared = docs.sparkSession.sparkContext.broadcast(ranks)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, part, first = _encoder(shared.value).encode_ordinary, TaskContext.get().partitionId(), 0
         pack = zstandard.ZstdCompressor(level=LEVEL)
@@ -146,6 +147,7 @@ def materialise(docs: DataFrame, work: Workspace | None = None, seed: int = 0, v
         return spark.createDataFrame([], RESULT)
     feistel, n_shards = Feistel(n, seed), -(-n // per_shard)
 
+    @tidy
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack, unpack = zstandard.ZstdCompressor(level=LEVEL), zstandard.ZstdDecompressor()
         for batch in batches:
@@ -164,6 +166,7 @@ def materialise(docs: DataFrame, work: Workspace | None = None, seed: int = 0, v
 
     root, stride = work.mkdirs("shards"), sequence * kind.itemsize
 
+    @tidy
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Workspace, row_key
+from .shared import Workspace, row_key, tidy
 from .text import MARKS, U, Words, blocks, filled, mix, strings, words
 
 LEAST, COVERAGE = 5, 0.5
@@ -193,6 +193,6 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, coverage: f
                 if found:
                     yield pa.RecordBatch.from_pylist(found, pa.schema([*schema, ("row", pa.int64())]) if with_row else schema)
 
-        part = docs.select("doc_id", "text", *[row_key().alias("row")] * with_row).mapInArrow(run, SCHEMA + ", row long" * with_row)
+        part = docs.select("doc_id", "text", *[row_key().alias("row")] * with_row).mapInArrow(tidy(run), SCHEMA + ", row long" * with_row)
         out = part if out is None else out.unionByName(part)
     return out
