@@ -22,8 +22,11 @@ def _judge_tokens(c: Column) -> Column:
     return T.judge_tokens(c)
 
 
-def judge(question: Column | str, text: Column | str, title: Column | str, path: Column | str, context: Column | None = None) -> Column:
-    """From 0 to 1: covered question words, phrase, context, title and path, CJK spans, identifiers."""
+def judge(question: Column | str, text: Column | str, title: Column | str, path: Column | str, context: Column | None = None, words: Column | None = None) -> Column:
+    """From 0 to 1: covered question words, phrase, context, title and path, CJK spans, identifiers.
+
+    words: the judge's tokens of text, where they are known already.
+    """
     text, title, path = T.text_of(text), T.text_of(title), T.text_of(path)
     question = T.text_of(question)
     pieces = F.concat(F.split(path, r"[/_\\-]+"), F.array(F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"\.md$", "")))
@@ -43,7 +46,7 @@ def judge(question: Column | str, text: Column | str, title: Column | str, path:
         phrase = F.when((n >= 2) & (in_text >= 2), PHRASE).otherwise(0.0)
         cjk = F.least(F.lit(CJK_MOST), CJK_EACH * T.bind(hay, lambda h: F.size(F.filter(spans, lambda s: F.contains(h, s)))))
         named = F.when(F.size(ids) > 0, F.when(T.bind(T.casefold(hay), lambda h: F.exists(ids, lambda w: F.contains(h, w))), IDENTIFIER)).otherwise(0.0)
-        found = share(T.judge_tokens(text)) + phrase + CONTEXT * share(around) + TITLE * share(names) + cjk + F.coalesce(named, F.lit(0.0))
+        found = share(T.judge_tokens(text) if words is None else words) + phrase + CONTEXT * share(around) + TITLE * share(names) + cjk + F.coalesce(named, F.lit(0.0))
         nothing = (n == 0) & (F.size(spans) == 0) & (F.size(ids) == 0)
         return F.when(nothing, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), found)))
 
@@ -84,18 +87,23 @@ def hop(questions: DataFrame, initial: DataFrame, passages: DataFrame, find: Cal
     body = passages.select("passage_id", "text", "title", "path")
     asked = questions.select("query_id", "question")
 
-    def judged(found: DataFrame, pool: DataFrame) -> DataFrame:
-        """found, in the light of the texts of pool: only the question's words among theirs count, so no texts are gathered."""
-        full = found.join(body, "passage_id").join(asked, "query_id")
-        wanted = asked.select("query_id", F.explode(T.judge_tokens("question")).alias("word"))
-        said = pool.select("query_id", "passage_id").join(body.select("passage_id", "text"), "passage_id").select("query_id", F.explode(T.judge_tokens("text")).alias("word"))
-        around = said.join(wanted, ["query_id", "word"], "left_semi").groupBy("query_id").agg(F.collect_set("word").alias("around"))
-        scored = full.join(around, "query_id", "left").withColumn("around", F.coalesce("around", F.array().cast("array<string>")))
-        return scored.withColumn("evidence", judge("question", "text", "title", "path", F.col("around"))).drop("around")
+    def judged(found: DataFrame, said: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+        """found with evidence, and the question's words that the texts of found or of the pool before it (said) have.
+
+        A passage's tokens are made once for all questions that it was found for; of the texts only the question's words are gathered.
+        """
+        told = cut(found.select("passage_id").distinct().join(body, "passage_id").withColumn("words", T.judge_tokens("text")))
+        wanted = asked.select("query_id", T.judge_tokens("question").alias("wanted"))
+        new = found.select("query_id", "passage_id").join(told.select("passage_id", "words"), "passage_id").join(wanted, "query_id")
+        new = new.select("query_id", F.explode(F.array_intersect("wanted", "words")).alias("word"))
+        said = cut((new if said is None else new.union(said)).distinct())
+        around = said.groupBy("query_id").agg(F.collect_set("word").alias("around"))
+        full = found.join(told, "passage_id").join(asked, "query_id").join(around, "query_id", "left").withColumn("around", F.coalesce("around", F.array().cast("array<string>")))
+        return cut(full.withColumn("evidence", judge("question", "text", "title", "path", F.col("around"), F.col("words"))).drop("around", "words")), said
 
     first = initial.withColumn("order", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "passage_id"))).where(F.col("order") <= POOL)
     first = first.select("query_id", "passage_id", "score", F.col("order").cast("long").alias("order"), F.lit(0).alias("hop"))
-    pool = cut(judged(first, first))
+    pool, said = judged(cut(first))
     used, spent, stops = None, None, None
     for step in range(1, hops + 1):
         best = Window.partitionBy("query_id").orderBy(F.col("evidence").desc(), "passage_id")
@@ -115,7 +123,7 @@ def hop(questions: DataFrame, initial: DataFrame, passages: DataFrame, find: Cal
         new = new.withColumn("k", F.row_number().over(Window.partitionBy("query_id").orderBy("at", "passage_id"))).join(have, "query_id", "left")
         new = new.withColumn("order", F.col("k") + F.coalesce("have", F.lit(0))).where(F.col("order") <= JUDGED)
         new = new.select("query_id", "passage_id", "score", F.col("order").cast("long").alias("order"), F.lit(step).alias("hop"))
-        found = cut(judged(new, pool.select("query_id", "passage_id").unionByName(new.select("query_id", "passage_id"))))
+        found, said = judged(cut(new), said)
         counts = asked.select("query_id").join(terms.groupBy("query_id").agg(F.count("*").alias("n_terms")), "query_id", "left").join(found.groupBy("query_id").agg(F.count("*").alias("n_new"), F.max("order").alias("last")), "query_id", "left")
         why = F.when(F.col("n_terms").isNull(), "no_expansion_terms").when(F.col("n_new").isNull(), "no_new_candidates").when(F.col("last") >= JUDGED, "judge_budget").otherwise("max_hops" if step == hops else None)
         now = counts.select("query_id", why.alias("stop"), F.lit(step).alias("step"))
