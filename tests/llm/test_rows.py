@@ -19,3 +19,15 @@ def test_a_bad_row_takes_no_clean_row_of_its_id(spark, tmp_path):
     assert got(pipeline.near_dedup(spark, frame(clean + near), str(tmp_path))) == sorted([*clean, (1, copied)], key=str)
     leaks = [(None, leaked), (7, "x " + leaked)]
     assert got(pipeline.decontaminate(spark, frame(clean + leaks), str(tmp_path))) == sorted(clean, key=str)
+
+
+def test_a_tidy_task_gives_all_its_batches():
+    import pyarrow as pa
+
+    from quarryline.llm.shared import tidy
+
+    batches = [pa.RecordBatch.from_pydict({"n": [k]}) for k in range(3)]
+    assert list(tidy(lambda rows: (b for b in rows))(iter(batches))) == batches
+    assert list(tidy(iter)(iter([]))) == []
+    with pytest.raises(ZeroDivisionError):
+        list(tidy(lambda rows: (1 // 0 for _ in rows))(iter(batches)))
