@@ -364,6 +364,16 @@ def test_mentions(spark):
     assert got[0].link == "[[carrier-gateway|carrier gateway]]"
 
 
+def test_mentions_meet_on_two_words(spark):
+    pages = frame(spark, [("wiki/rb.md", "Retry Budget", None), ("wiki/x.md", "-x-ray", None), ("wiki/cn.md", "预算表", None), ("wiki/one.md", "Spend", None), ("wiki/long.md", "Budget is spent", None)], "path string, title string, aliases array<string>")
+    pages = pages.withColumns({"page_type": F.lit("note"), "lifecycle_status": F.lit("active")})
+    body = "Budget retry, retry the budget, my-x-ray.\nThe budget is spent: 这是预算表 Spend RETRY BUDGET"
+    got = catalog.link_suggestions(frame(spark, [("wiki/p.md", body), ("wiki/e.md", ""), ("wiki/n.md", None)], "path string, body string"), pages).orderBy("offset").collect()
+    assert [(r.target, r.mention) for r in got] == [("wiki/x.md", "-x-ray"), ("wiki/long.md", "budget is spent"), ("wiki/cn.md", "预算表"), ("wiki/one.md", "Spend"), ("wiki/rb.md", "RETRY BUDGET")]
+    keys = frame(spark, [("a b a b",), ("one",), ("",), (None,)], "t string").select(catalog.body_keys(F.col("t")).alias("k")).collect()
+    assert [r.k and sorted(r.k) for r in keys] == [["a", "a b", "b", "b a"], ["one"], [], None]
+
+
 def test_questions_for_lists(spark):
     rows = [("list all modules", True), ("N/record", False), ("N/*", True), ("explain N/*", False), ("available N/record methods", False), ("N/record and N/search types", True), ("有哪些脚本", True), ("how do rates work", False), ("what is N/*", False)]
     df = frame(spark, rows, "question string, want boolean")
