@@ -1,10 +1,12 @@
 """Literal cases of steps that must not grow faster than their input."""
 
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quarryline.operators import fusion, graph, lexical
+from quarryline.operators import catalog, fusion, graph, lexical
 
 
 def rows(df):
@@ -67,3 +69,42 @@ def test_nearest_vectors_of_copies_and_odd_rows(spark):
             scored = [(-round(sum(float(a) * float(b) for a, b in zip(x, y)), 12), j) for j, y in arrays.items() if len(y) == len(x)]
             want += [(i, j, round(-s, 9), n + 1) for n, (s, j) in enumerate(sorted(t for t in scored if t[0] <= 0)[:10])]
     assert rows(got.select("query_id", "passage_id", "vector_score", "vector_rank")) == sorted(want)
+
+
+def _notes(spark, n):
+    names = [("Twice Told", n), ("Retry Budget", 1), ("Own Page", 1), ("spend", 1), ("ſpend Kelvin", 1)]
+    paths = [(f"wiki/{title.replace(' ', '')}{i}.md", title, [f"alias {title}"]) for title, many in names for i in range(many)]
+    pages = spark.createDataFrame(paths, "path string, title string, aliases array<string>").withColumns({"page_type": F.lit("note"), "lifecycle_status": F.lit("active")})
+    body = "Twice Told and retry budget, RETRY BUDGET; own page, spend and Spend. Alias spend, a ſpend kelvin. "
+    bodies = [("wiki/OwnPage0.md", body), ("wiki/q.md", body * 3), ("wiki/q.md", "retry budget"), ("wiki/e.md", ""), ("wiki/n.md", None), (None, body)]
+    return spark.createDataFrame(bodies, "path string, body string"), pages
+
+
+def test_mentions_are_looked_for_where_bodies_are_scanned(spark, monkeypatch):
+    bodies, pages = _notes(spark, 300)
+    found = catalog.link_suggestions(bodies, pages)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan
+    got = rows(found)
+    assert {(r[0], r[1]) for r in got} == {("wiki/OwnPage0.md", "wiki/RetryBudget0.md"), ("wiki/OwnPage0.md", "wiki/spend0.md"), ("wiki/OwnPage0.md", "wiki/ſpendKelvin0.md")} | {("wiki/q.md", f"wiki/{x}0.md") for x in ("RetryBudget", "spend", "ſpendKelvin", "OwnPage")}
+    monkeypatch.setattr(catalog, "HELD_TERMS", 0)
+    assert got == rows(catalog.link_suggestions(bodies, pages))
+
+
+def test_a_term_of_many_pages_is_one_term(spark):
+    terms = {r.term: r.target for r in catalog._claims(_notes(spark, 300)[1]).collect() if not r.term.startswith("alias")}
+    assert terms["Twice Told"] is None and terms["Own Page"] == "wiki/OwnPage0.md" and len(terms) == 5
+
+
+def test_places_of_terms_are_those_of_patterns():
+    words = ["Ab", "ab", "b a", "a-b", "-b", "ab-", "a_b c", "ſ a", "k b", "é a", "+"]
+    draw = np.random.default_rng(3)
+    for letters in ("abAB -_+", "aAbkKKſ -", "aé bÉiİ "):
+        for _ in range(300):
+            body = "".join(draw.choice(list(letters), 30))
+            low = None if catalog._FOLDS_TO_ASCII.search(body) else body.lower()
+            for term in words:
+                whole = re.fullmatch("[A-Za-z0-9_]+", term)
+                left, right = (r"(?<![A-Za-z0-9_])" if re.match("[A-Za-z0-9_]", term) else ""), (r"(?![A-Za-z0-9_])" if re.search("[A-Za-z0-9_]$", term) else "")
+                want = [m.span() for m in re.finditer(left + re.escape(term) + right, body, 0 if whole else re.I)]
+                assert list(catalog._places(body, low, term)) == want, (body, term)
