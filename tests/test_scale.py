@@ -5,7 +5,9 @@ import re
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as P
 
+from quarryline.functions import markdown
 from quarryline.operators import catalog, fusion, graph, lexical
 
 
@@ -108,3 +110,23 @@ def test_places_of_terms_are_those_of_patterns():
                 left, right = (r"(?<![A-Za-z0-9_])" if re.match("[A-Za-z0-9_]", term) else ""), (r"(?![A-Za-z0-9_])" if re.search("[A-Za-z0-9_]$", term) else "")
                 want = [m.span() for m in re.finditer(left + re.escape(term) + right, body, 0 if whole else re.I)]
                 assert list(catalog._places(body, low, term)) == want, (body, term)
+
+
+def test_rows_of_pages_are_handed_on_in_pieces(spark):
+    def of_page(path, body):
+        class Row(dict):
+            alive = 0
+
+            def __init__(self):
+                Row.alive += 1
+                super().__init__(n=Row.alive)
+
+            def __del__(self):
+                Row.alive -= 1
+
+        return (Row() for _ in range(20_000))
+
+    pages = spark.createDataFrame([("a", "x")], "path string, body string")
+    got = markdown._rows(pages, ["path", "body"], P.StructType([P.StructField("n", P.IntegerType())]), of_page)
+    assert got.count() == 20_000 and got.agg(F.max("n")).first()[0] <= 2 * markdown.PIECE
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 1000
