@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .cut import dealt, parts_for
 
 STAGES = ["dependencies", "retrieval", "navigation", "overview", "audit_log"]
 # Moves the archive's state machine allows, fields that an update must not change, and limits of notes.
@@ -14,6 +15,8 @@ TRANSITIONS = {
     "detaching": ("committed", "rolling_back", "failed_recoverable"), "failed_recoverable": ("rolling_back", "detaching"), "rolling_back": ("rolled_back",), "committed": (), "rolled_back": (),
 }
 LOCKED_FIELDS = ("type", "concept_id", "entity_id", "entity_type", "created", "source_path", "source_hash")
+#: Parts over which the dependents of one raw page are dealt.
+SPREAD = 32
 STRUCTURAL = ("wiki/index.md", "wiki/log.md", "wiki/overview.md")
 ALIASES_MOST, ALIAS_CHARS, QUESTIONS_MOST, QUESTION_CHARS = 20, 120, 20, 300
 
@@ -88,9 +91,12 @@ def archive_plan(targets: DataFrame, pages: DataFrame, edges: DataFrame, cascade
     pages: path, generated, lifecycle_status, replaced_by; edges: source_path, page_path. A raw page that pages depend on
     goes only with them (cascade); then each of these must be free to go.
     """
-    have = pages.select("path", "generated", "lifecycle_status", "replaced_by", F.lit(True).alias("there"))
-    asked = targets.select("path").distinct()
-    of = edges.join(asked.withColumnRenamed("path", "source_path"), "source_path").where(F.startswith("source_path", F.lit("raw/"))).select("source_path", "page_path").distinct()
+    parts = parts_for(targets, pages, edges)
+    have = dealt(pages.select("path", "generated", "lifecycle_status", "replaced_by", F.lit(True).alias("there")), parts, "path")
+    asked = dealt(targets.select("path"), parts, "path").distinct()
+    # a raw page's dependents are dealt to at most SPREAD parts: a page of many is not one task's, and few counts are left to sum up
+    raw = edges.where(F.startswith("source_path", F.lit("raw/"))).select("source_path", "page_path", F.pmod(F.hash("page_path"), F.lit(SPREAD)).alias("__s"))
+    of = dealt(raw, parts, "source_path", "__s").distinct().drop("__s")
     fed = of.groupBy(F.col("source_path").alias("path")).agg(F.count("*").alias("dependents"))
     own = knowledge_blocker(F.col("path"), F.col("generated"), F.col("lifecycle_status"), F.col("replaced_by"), explicit, namespace)
     outside = ~(F.startswith("path", F.lit("wiki/")) | F.startswith("path", F.lit("raw/")))
@@ -100,6 +106,7 @@ def archive_plan(targets: DataFrame, pages: DataFrame, edges: DataFrame, cascade
     out = rows.select("path", F.lit("target").alias("role"), F.coalesce(place, F.when(F.startswith("path", F.lit("raw/")), held).otherwise(own)).alias("blocker"), F.coalesce("dependents", F.lit(0)).cast("long").alias("dependents"))
     if not cascade:
         return out
+    of = of.join(asked.withColumnRenamed("path", "source_path"), "source_path")
     more = of.select(F.col("page_path").alias("path")).distinct().join(asked, "path", "left_anti").join(have, "path", "left")
     return out.unionByName(more.select("path", F.lit("dependent").alias("role"), F.coalesce(place, own).alias("blocker"), F.lit(0).cast("long").alias("dependents")))
 
