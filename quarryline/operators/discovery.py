@@ -9,7 +9,7 @@ from ..functions import text as T
 from ..functions.identifiers import query_plan
 from ..functions.markdown import fragments
 from . import fusion
-from .cut import cut
+from .cut import cut, dealt, parts_for
 
 # Words that ask for a list, words that ask for an explanation, words that are no anchors, and what Chinese words stand for.
 ASKS = r"(?i)(?:\blist\b|\ball\b|\beach\b|\bevery\b|\bvarious\b|\bdifferent\b|\btypes?\b|\bavailable\b|\bmodules?\b|\bcatalog\b|\bdirectory\b|\boverview\b|列出|有哪些|各|每|分别|类型|目录|模块|清单|列表)"
@@ -214,6 +214,8 @@ def statuses(entities: DataFrame, found: DataFrame) -> DataFrame:
     Of an entity's pages those count that come near the best. Two nearly equal ones, or pages of different kinds, are ambiguous;
     none, or none that is relevant at all, is unresolved.
     """
+    parts = parts_for(entities, found)
+    entities, found = dealt(entities, parts, "entity_id"), dealt(found, parts, "entity_id")
     near = fusion.plateau(found, by="entity_id")
     two = near.groupBy("entity_id").agg(
         F.max(F.when(F.col("rank") == 1, F.struct("score", "path"))).alias("a"), F.max(F.when(F.col("rank") == 2, F.col("score"))).alias("b"), F.countDistinct("source_kind").alias("kinds"), F.count("*").cast("long").alias("n_pages")

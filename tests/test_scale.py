@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as P
 
 from quarryline.functions import markdown
-from quarryline.operators import catalog, fusion, graph, lexical
+from quarryline.operators import catalog, cut, discovery, fusion, graph, lexical, state
 
 
 def rows(df):
@@ -130,3 +130,17 @@ def test_rows_of_pages_are_handed_on_in_pieces(spark):
     got = markdown._rows(pages, ["path", "body"], P.StructType([P.StructField("n", P.IntegerType())]), of_page)
     assert got.count() == 20_000 and got.agg(F.max("n")).first()[0] <= 2 * markdown.PIECE
     assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 1000
+
+
+def test_parts_of_plans_and_statuses_stay_small(spark, monkeypatch):
+    most = lambda df: df.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+    pages = spark.range(4000).selectExpr("concat(if(id < 40, 'raw/s', 'wiki/o'), id) AS path", "true AS generated", "'deprecated' AS lifecycle_status", "null AS replaced_by")
+    edges = spark.range(20_000).selectExpr("concat('raw/s', if(id % 2 = 0, 7, id % 50)) AS source_path", "concat('wiki/o', id % 3000) AS page_path")
+    found = spark.range(8000).selectExpr("id % 1500 AS entity_id", "id AS path", "id AS passage_id", "cast(id % 5 AS double) AS score", "'w' AS source_kind")
+    entities = spark.range(2000).selectExpr("id AS entity_id")
+    wide = rows(state.archive_plan(pages.select("path"), pages, edges).select("path", "role", F.coalesce("blocker", F.lit("")), "dependents")), rows(discovery.statuses(entities, found).fillna("").fillna(-1))
+    assert {r[0]: r[3] for r in wide[0]}["raw/s7"] == edges.where("source_path = 'raw/s7'").select("page_path").distinct().count()
+    monkeypatch.setattr(cut, "PART_ROWS", 200)
+    plan, statuses = state.archive_plan(pages.select("path"), pages, edges), discovery.statuses(entities, found)
+    assert rows(plan.select("path", "role", F.coalesce("blocker", F.lit("")), "dependents")) == wide[0] and rows(statuses.fillna("").fillna(-1)) == wide[1]
+    assert most(plan) < 150 and most(statuses) < 150
