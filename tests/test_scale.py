@@ -1,5 +1,6 @@
 """Literal cases of steps that must not grow faster than their input."""
 
+import json
 import re
 
 import numpy as np
@@ -9,6 +10,7 @@ from pyspark.sql import types as P
 
 from quarryline.functions import markdown
 from quarryline.operators import catalog, cut, discovery, fusion, graph, lexical, state
+from quarryline.sources import pages as source_pages
 
 
 def rows(df):
@@ -144,3 +146,13 @@ def test_parts_of_plans_and_statuses_stay_small(spark, monkeypatch):
     plan, statuses = state.archive_plan(pages.select("path"), pages, edges), discovery.statuses(entities, found)
     assert rows(plan.select("path", "role", F.coalesce("blocker", F.lit("")), "dependents")) == wide[0] and rows(statuses.fillna("").fillna(-1)) == wide[1]
     assert most(plan) < 150 and most(statuses) < 150
+
+
+def test_links_are_read_off_pages_once(spark):
+    texts = [("wiki/concepts/a.md", "---\ntitle: A\nsources: [raw/s.md]\n---\n[[b]]"), ("wiki/concepts/b.md", "﻿---\ntitle: B\n---\n[[a]] [[none]]"), ("wiki/concepts/c.md", "﻿plain [[a]]"), ("wiki/concepts/d.md", "--- no mapping"), ("wiki/concepts/e.md", None), ("wiki/concepts/f.md", "---\nopen")]
+    vault = source_pages.pages(spark.createDataFrame(texts, "path string, text string"))
+    want = {p: markdown.split_frontmatter(t or "") for p, t in texts}
+    assert {r.path: (json.loads(r.frontmatter), r.body) for r in vault.select("path", "frontmatter", "body").collect()} == want
+    found = graph.resolve(markdown.links(vault), vault).select("src", "kind", "dst", "target")
+    assert "MapInArrow" not in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, found.fillna("").collect())) == [("wiki/concepts/a.md", "source", "raw/s.md", ""), ("wiki/concepts/a.md", "wikilink", "b", "wiki/concepts/b.md"), ("wiki/concepts/b.md", "wikilink", "a", "wiki/concepts/a.md"), ("wiki/concepts/b.md", "wikilink", "none", ""), ("wiki/concepts/c.md", "wikilink", "a", "wiki/concepts/a.md")]
