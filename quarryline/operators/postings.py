@@ -6,6 +6,7 @@ holds a batch of passages, and hands on no more than the best of each query.
 
 from __future__ import annotations
 
+import heapq
 from collections import defaultdict
 from collections.abc import Callable, Iterator
 
@@ -148,3 +149,72 @@ def ranker(asked: list[list[int]], wanted: np.ndarray | None, idf: np.ndarray, a
             yield pa.RecordBatch.from_arrays([*(batch.column(c).take(row) for c in ("passage_id", "path", "ordinal")), pa.array(score), pa.array(q.astype(np.int32))], ["passage_id", "path", "ordinal", "score", "q"])
 
     return run
+
+
+def overlapper(asked: dict[str, list[int]], queries: int, limit: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A task over path and words (an array), in order of path: q, path and overlap, the first limit of each query by overlap and path.
+
+    asked: the queries that ask for each word. Rows of one path count together; a task has all rows of a path, but not of the
+    null one, whose counts are handed on whole.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        heaps: list[list[tuple[int, int, str]]] = [[] for _ in range(queries)]
+        bar, nulls, seen = np.zeros(queries, np.int64), np.zeros(queries, np.int64), 0
+        last: str | None = None
+        held = np.zeros(queries, np.int64)  # counts of the path that may go on in the next rows
+
+        def offer(path: str, q: np.ndarray, overlap: np.ndarray) -> None:
+            nonlocal seen
+            seen += 1
+            better = (overlap > bar[q]) & (limit > 0)  # of equal ones the earlier path comes first
+            for n, x in zip(q[better].tolist(), overlap[better].tolist(), strict=True):
+                heap = heaps[n]
+                (heapq.heappush if len(heap) < limit else heapq.heappushpop)(heap, (x, -seen, path))
+                if len(heap) == limit:
+                    bar[n] = heap[0][0]
+
+        def close() -> None:
+            if last is not None:
+                q = np.flatnonzero(held)
+                offer(last, q, held[q])
+                held[q] = 0
+
+        for batch in batches:
+            column = batch.column("words")
+            size = np.asarray(column.value_lengths().fill_null(0))
+            words = column.flatten().dictionary_encode()
+            ids = np.asarray(words.indices)
+            counts, at, to = _csr([asked.get(w, []) for w in words.dictionary.to_pylist()])
+            each = counts[ids] if len(ids) else np.zeros(0, np.int64)
+            ends = np.concatenate([[0], np.cumsum(each)])[np.cumsum(size)] if len(size) else np.zeros(0, np.int64)
+            first, word = 0, 0
+            paths = batch.column("path").to_pylist()
+            while first < len(paths):
+                # so many rows that what they share with queries fits a table
+                before = ends[first - 1] if first else 0
+                stop = max(first + 1, int(np.searchsorted(ends, before + CELLS, "right")))
+                stop = min(stop, max(first + 1, first + CELLS // max(1, queries)))
+                n_words = int(size[first:stop].sum())
+                token, k = _spread(each[word : word + n_words])
+                row = np.repeat(np.arange(stop - first), size[first:stop])[token]
+                cell, overlap = np.unique(row * queries + to[at[ids[word + token]] + k], return_counts=True)
+                row, q = cell // max(1, queries), cell % max(1, queries)
+                start = np.searchsorted(row, np.arange(stop - first + 1))
+                for i, path in enumerate(paths[first:stop]):
+                    a, b = start[i], start[i + 1]
+                    if path is None:
+                        nulls[q[a:b]] += overlap[a:b]
+                        continue
+                    if path != last:
+                        close()
+                        last = path
+                    held[q[a:b]] += overlap[a:b]
+                first, word = stop, word + n_words
+        close()
+        found = [(n, path, x) for n, heap in enumerate(heaps) for x, _, path in heap] + [(n, None, x) for n, x in enumerate(nulls.tolist()) if x]
+        for k in range(0, len(found), 10_000):
+            q, path, overlap = zip(*found[k : k + 10_000], strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(q, pa.int32()), pa.array(path, pa.string()), pa.array(overlap, pa.int64())], ["q", "path", "overlap"])
+
+    return run

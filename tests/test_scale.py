@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as P
 
 from quarryline.functions import markdown
-from quarryline.operators import catalog, cut, discovery, fusion, graph, lexical, state
+from quarryline.operators import catalog, cut, discovery, fusion, graph, lexical, postings, state
 from quarryline.sources import pages as source_pages
 
 
@@ -156,3 +156,19 @@ def test_links_are_read_off_pages_once(spark):
     found = graph.resolve(markdown.links(vault), vault).select("src", "kind", "dst", "target")
     assert "MapInArrow" not in found._jdf.queryExecution().executedPlan().toString()
     assert sorted(map(tuple, found.fillna("").collect())) == [("wiki/concepts/a.md", "source", "raw/s.md", ""), ("wiki/concepts/a.md", "wikilink", "b", "wiki/concepts/b.md"), ("wiki/concepts/b.md", "wikilink", "a", "wiki/concepts/a.md"), ("wiki/concepts/b.md", "wikilink", "none", ""), ("wiki/concepts/c.md", "wikilink", "a", "wiki/concepts/a.md")]
+
+
+@pytest.mark.parametrize("cells", [8_000_000, 40])
+def test_titles_meet_questions_where_they_are_scanned(spark, monkeypatch, cells):
+    words = "alpha beta gamma delta rate budget".split()
+    titles = [(f"w/{i % 400:03d}.md", " ".join(words[(i * k) % 6] for k in range(1, 2 + i % 5))) for i in range(900)]
+    titles += [(None, f"{words[i % 6]} zeta") for i in range(300)] + [("w/none.md", None), ("w/empty.md", ""), ("w/wide.md", " ".join(words))]
+    vault = spark.createDataFrame(titles, "path string, title string").repartition(3)
+    asked = spark.createDataFrame([(1, "alpha beta gamma"), (2, "rate"), (3, "nowhere"), (4, "md"), (4, "md w/ 001 delta"), (5, "zeta delta"), (6, None)], "query_id int, question string")
+    monkeypatch.setattr(postings, "CELLS", cells)
+    found = lexical.title_candidates(asked, vault, 7)
+    assert "Generate" not in found._jdf.queryExecution().executedPlan().toString()
+    got = [list(map(tuple, f.orderBy("query_id", "title_rank").collect())) for f in (found, lexical.title_candidates(asked.limit(0), vault), lexical.title_candidates(asked, vault.limit(0)), lexical.title_candidates(asked, vault, 0))]
+    monkeypatch.setattr(lexical, "SCORED_TERMS", 0)
+    assert got == [list(map(tuple, lexical.title_candidates(asked, vault, 7).orderBy("query_id", "title_rank").collect())), [], [], []]
+    assert (5, None, 350, 1) in got[0] and len(got[0]) == 28
