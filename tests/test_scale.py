@@ -172,3 +172,31 @@ def test_titles_meet_questions_where_they_are_scanned(spark, monkeypatch, cells)
     monkeypatch.setattr(lexical, "SCORED_TERMS", 0)
     assert got == [list(map(tuple, lexical.title_candidates(asked, vault, 7).orderBy("query_id", "title_rank").collect())), [], [], []]
     assert (5, None, 350, 1) in got[0] and len(got[0]) == 28
+
+
+def test_a_long_page_is_held_as_its_text():
+    import tracemalloc
+
+    words = [" ".join(f"w{i}x{k}" for k in range(9)) for i in range(20_000)]
+    for body in (" ".join(words), "\n".join(words), "\n\n".join(words), "ab\n\n" * 300_000, "\r\n".join(words), "\n# a\n".join(words)):
+        tracemalloc.start()
+        n = sum(1 for _ in markdown.page_passages("a", body))
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert n > 300 and peak < 5 * len(body) + (4 << 20), (body[:20], peak / len(body))
+
+
+def test_passages_of_a_long_paragraph_are_those_of_listed_units(monkeypatch):
+    body = "# A\n\none two\n\n" + " ".join(f"w{i}, 中文" for i in range(900)) + "\n\nthree\r\nfour\n\n" + "x " * 500 + "\n\n" + "y " * 40
+    listed = markdown.chunk("a", body)
+    words = markdown.units(body.split("\n\n")[2])
+    assert [c["text"] for c in listed if c["text"].startswith("w")][0] == " ".join(words[:600])
+    assert [c["token_count"] for c in listed] == [2, 600, 600, 600, 600, 600, 600, 384, 2, 502, 104]
+    monkeypatch.setattr(markdown, "SHORT", 0)
+    assert markdown.chunk("a", body) == listed
+
+
+def test_pieces_end_where_their_texts_are_long():
+    rows = [{"text": "x" * (1 << 20), "path": ["y" * (1 << 20)]} for _ in range(20)]
+    assert [len(p) for p in markdown._pieces(rows)] == [8, 8, 4]
+    assert [len(p) for p in markdown._pieces({"n": i, "path": None} for i in range(2500))] == [1000, 1000, 500]
